@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from footgrid.llm import bpe, quality_classifier, quality_rules, token_records, url_filter, warc
+from footgrid.llm import bpe, decontaminate, language, near_dup, quality_classifier, quality_rules, token_records, url_filter, warc
 from footgrid.tables import table
 
 OP8_SQL = """
@@ -38,6 +38,28 @@ FROM d
 """
 
 
+#: Windows by plain comparison: every document word window against every item window.
+OP4_SQL = """
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS s FROM bw WHERE len(w) > 0),
+bwin AS (SELECT DISTINCT item_id, m, array_to_string(w[s + 1 : s + m], ' ') AS g FROM bi),
+lens AS (SELECT DISTINCT m FROM bwin),
+di AS (SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS s FROM dw, lens WHERE len(w) >= m),
+dwin AS (SELECT doc_id, m, s, array_to_string(w[s + 1 : s + m], ' ') AS g FROM di),
+hit AS (SELECT DISTINCT doc_id, dwin.m AS m, s, item_id FROM dwin JOIN bwin ON dwin.g = bwin.g AND dwin.m = bwin.m),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,11 +73,24 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark, sf_dir):
+    found = decontaminate.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_token_records(spark, sf_dir):
     config = token_records.TokenRecords(public_tokenizers.path("word_bpe_49k.json"))
     return token_records.round_trip(table(spark, sf_dir, "documents"), config)
 
 
+def op6_near_dup(spark, sf_dir):
+    return near_dup.apply(table(spark, sf_dir, "documents"), near_dup.NearDup(shingle=2))
+
+
+def op7_language(spark, sf_dir):
+    return language.apply(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -69,4 +104,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_warc_archive": OP2_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_warc_archive": OP2_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
