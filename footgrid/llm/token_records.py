@@ -33,7 +33,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +75,8 @@ class ChunkEncoder:
     blanks, lower case character by character, cutting by a pattern of which no
     match holds white space, then BPE of each match alone. A text of printable
     ASCII and Latin-1 letters is composed already and Python lowers it alike, so
-    it is cut here by the tokenizer's own pattern; any other text, and one that
+    it is cut here by the tokenizer's own pattern, its classes narrowed to those
+    letters and digits; any other text, and one that
     could hold a special token, is cut at ASCII white space only, which no
     composition crosses. Either way the library encodes each distinct part.
     """
@@ -89,7 +89,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.find = regex.compile(self.pattern()).findall
+        self.find = re.compile(self.pattern().replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")).findall
         self.known: dict[str, bytes] = _Known(self.tokenizer, self.dtype)
 
     def pattern(self) -> str:
@@ -119,12 +119,16 @@ class ChunkEncoder:
 class _Known(dict):
     """Ids of parts; a new one is encoded by the library."""
 
+    #: What byte-level tokenizers write for the bytes that Latin-1 doesn't print: the code points from 256, in order.
+    PRINTED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+    LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
     def __init__(self, tokenizer, dtype: str):
         self.whole, self.word, self.dtype = tokenizer.encode, tokenizer.model.tokenize, dtype
 
     def __missing__(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha() and part.islower():  # nothing to normalise or cut
-            ids = [token.id for token in self.word(part)]
+        if self.LETTERS(part):  # nothing to normalise or cut
+            ids = [token.id for token in self.word(part if part.isascii() else part.encode().decode("latin-1").translate(self.PRINTED))]
         else:
             ids = self.whole(part, add_special_tokens=False).ids
         self[part] = found = np.array(ids, self.dtype).tobytes()
