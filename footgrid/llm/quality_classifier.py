@@ -176,6 +176,19 @@ def score(documents: DataFrame, model: Trees, config: QualityClassifier = Qualit
     return map_arrow(rows, run, f"doc_id {kind}, score double, predicted int")
 
 
+def accepted(documents: DataFrame, model: Trees, config: QualityClassifier = QualityClassifier()) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that are not rejected; no shuffle."""
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                p = shared.value.score(np.stack([statistics(t) for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(p >= config.threshold))
+
+    return map_arrow(documents, run, documents.schema)
+
+
 def apply(documents: DataFrame, labels: DataFrame, config: QualityClassifier = QualityClassifier()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; a null doc_id is not held out."""
     scored = score(documents, train(documents, labels, config), config)

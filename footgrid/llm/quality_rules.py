@@ -139,6 +139,34 @@ def log_ratios(counts: np.ndarray, config: QualityRules) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def judged(text: str | None, ratios: np.ndarray, config: QualityRules) -> tuple:
+    """A text's statistics, whether it fails the base rules, its score and verdict."""
+    text = text or ""
+    words = text.encode().split()
+    ids, seen = word_ids(words)
+    found = features(ids, seen, config.buckets)
+    n, repeats = len(words), repeated_words(ids, len(seen), config.window)
+    failed = n < config.min_words or 100 * repeats > config.max_repeat_percent * n
+    llr = float(ratios[found].mean()) if n else 0.0
+    return (
+        n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
+        duplicate_lines(text), repeats, failed, llr, not failed and llr >= config.threshold,
+    )
+
+
+def accepted(documents: DataFrame, labels: DataFrame, config: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that are kept."""
+    ratios = log_ratios(bucket_counts(documents, target_ids(labels, config), config), config)
+    shared, at = documents.sparkSession.sparkContext.broadcast(ratios), documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([judged(t, shared.value, config)[-1] for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return map_arrow(documents, run, documents.schema)
+
+
 def apply(documents: DataFrame, labels: DataFrame, config: QualityRules = QualityRules()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept) of every row."""
     ratios = log_ratios(bucket_counts(documents, target_ids(labels, config), config), config)
@@ -150,19 +178,7 @@ def apply(documents: DataFrame, labels: DataFrame, config: QualityRules = Qualit
         ratios = shared.value
         for batch in batches:
             for part in slices(batch):
-                stats = []
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    words = text.encode().split()
-                    ids, seen = word_ids(words)
-                    found = features(ids, seen, config.buckets)
-                    n, repeats = len(words), repeated_words(ids, len(seen), config.window)
-                    failed = n < config.min_words or 100 * repeats > config.max_repeat_percent * n
-                    llr = float(ratios[found].mean()) if n else 0.0
-                    stats.append((
-                        n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
-                        duplicate_lines(text), repeats, failed, llr, not failed and llr >= config.threshold,
-                    ))
+                stats = [judged(t, ratios, config) for t in part.column(1).to_pylist()]
                 kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
                 columns = [pa.array(x, k) for x, k in zip(zip(*stats), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])

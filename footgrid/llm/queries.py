@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from footgrid.llm import bpe, decontaminate, language, near_dup, quality_classifier, quality_rules, token_records, url_filter, warc
+from footgrid.llm import bpe, decontaminate, language, license_scan, near_dup, quality_classifier, quality_rules, token_records, url_filter, warc
 from footgrid.tables import table
 
 OP8_SQL = """
@@ -95,6 +95,10 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan.apply(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
