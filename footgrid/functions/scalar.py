@@ -80,7 +80,7 @@ def first_of(c: Column) -> Column:
 def box_clamp(b: dict[str, Column], width, height) -> dict[str, Column]:
     """Box corners as whole pixels within the image."""
     def into(c, most):
-        return F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(most)))
+        return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(most))))
 
     return {"x1": into(b["x1"], width), "y1": into(b["y1"], height), "x2": into(b["x2"], width), "y2": into(b["y2"], height)}
 

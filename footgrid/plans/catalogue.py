@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from footgrid.plans import detections
+from footgrid.plans import detections, graphs, learning, spatial
 
-MODULES: tuple[ModuleType, ...] = (detections,)
+MODULES: tuple[ModuleType, ...] = (detections, spatial, graphs, learning)
 
 
 def _own(module: ModuleType):
