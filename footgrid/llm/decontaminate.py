@@ -192,14 +192,14 @@ def _short_candidates(words: DataFrame, windows: DataFrame, lengths: list[int],
     if n_short <= config.literal_rows:
         known = [r[0] for r in windows.where(F.col("m") < config.span).select(F.xxhash64("window")).collect()]  # at most literal_rows
 
+    def of_length(words, m):
+        every = F.when(F.size(words) >= m, F.sequence(F.lit(0), F.size(words) - m)).otherwise(F.array().cast("array<int>"))
+        if known is not None:
+            every = F.filter(every, lambda i: F.xxhash64(_joined(words, i, m)).isin(known))
+        return F.transform(every, lambda i: F.struct(i.alias("place"), _joined(words, i, m).alias("window")))
+
     def of(words):
-        parts = []
-        for m in lengths:
-            every = F.when(F.size(words) >= m, F.sequence(F.lit(0), F.size(words) - m)).otherwise(F.array().cast("array<int>"))
-            if known is not None:
-                every = F.filter(every, lambda i, m=m: F.xxhash64(_joined(words, i, m)).isin(known))
-            parts.append(F.transform(every, lambda i, m=m: F.struct(i.alias("place"), _joined(words, i, m).alias("window"))))
-        return F.concat(*parts)
+        return F.concat(*[of_length(words, m) for m in lengths])
 
     n_words = F.size("words").cast("long").alias("n_words")
     return words.select("doc_id", "text_hash", n_words, F.explode(let(F.col("words"), of)).alias("c")).select("doc_id", "text_hash", "n_words", "c.*")
