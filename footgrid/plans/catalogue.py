@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from footgrid.plans import detections, graphs, learning, spatial
+from footgrid.plans import detections, graphs, learning, shapes, spatial
 
-MODULES: tuple[ModuleType, ...] = (detections, spatial, graphs, learning)
+MODULES: tuple[ModuleType, ...] = (detections, spatial, graphs, learning, shapes)
 
 
 def _own(module: ModuleType):
