@@ -44,10 +44,10 @@ def adjusted(joined: DataFrame, width: int = IMAGE_WIDTH, fov: float = FIELD_OF_
     })
 
 
-def displacement_stats(moved: DataFrame) -> DataFrame:
+def displacement_stats(moved: DataFrame, digits: int = 4) -> DataFrame:
     """Statistics of the moved distance by depth class, of objects that have a camera."""
     d = F.sqrt(F.pow(F.col("x_adj") - F.col("x"), 2) + F.pow(F.col("y_adj") - F.col("y"), 2))
     return moved.where("x IS NOT NULL").withColumn("d", d).groupBy("z_class").agg(
-        F.count("*").alias("n"), F.round(F.min("d"), 6).alias("min_m"), F.round(F.max("d"), 6).alias("max_m"),
-        F.round(F.avg("d"), 6).alias("mean_m"), F.round(F.median("d"), 6).alias("median_m"), F.round(F.stddev_samp("d"), 6).alias("std_m"),
+        F.count("*").alias("n"), F.round(F.min("d"), digits).alias("min_m"), F.round(F.max("d"), digits).alias("max_m"),
+        F.round(F.avg("d"), digits).alias("mean_m"), F.round(F.median("d"), digits).alias("median_m"), F.round(F.stddev_samp("d"), digits).alias("std_m"),
     )

@@ -164,7 +164,7 @@ SQL["geolocate_adjust"] = f"{_MOVED} SELECT image_id, obj_key, z_class, round(x_
 
 
 def displacement_stats(spark, d):
-    return geolocate.displacement_stats(_moved(spark, d)).select("z_class", "n", *[F.round(c, 4).alias(c) for c in ("min_m", "max_m", "mean_m", "median_m", "std_m")])
+    return geolocate.displacement_stats(_moved(spark, d))
 
 
 SQL["displacement_stats"] = f"""{_MOVED}, t AS (SELECT z_class, sqrt((x_adj-x)*(x_adj-x)+(y_adj-y)*(y_adj-y)) AS dd FROM m WHERE x IS NOT NULL)
