@@ -9,13 +9,23 @@ is confirmed on the full sets of shingles, words compared as words.
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it.
    A class of any size is one row from here on.
-2. Per key only the least representative is aggregated. Each representative is
-   compared with the one such centre that it shares most tables with.
+2. Each key has a centre: the representative whose keys hold most rows in all,
+   so one in the middle of its group. Each representative is compared with the
+   one centre that it shares most tables with.
 3. The links found give components. In keys that still hold several components,
    all rows outside the key's largest component are compared with the rows of
    the other components, so no pair that shares a key stays unconfirmed unless
    the two are in one component already. Pairs whose set sizes exclude the
-   similarity are left out, which loses nothing.
+   similarity are left out, which loses nothing, and so are pairs whose sketches
+   (four bits of each of ``SKETCH`` minhashes) agree in fewer places than 3.5
+   standard deviations below what the similarity gives, which loses a pair of
+   just that similarity with probability 0.0002. Of two rows compared with one
+   centre it is known how many of its shingles each lacks, how many each has
+   besides, and bitmaps of both; common bits bound from above what the two lack
+   in common and have in common besides, so their intersection is bounded too.
+   Where this excludes the similarity (it does for nearly all heavily edited
+   copies of one text) the pair is left out, which loses nothing. All of this is
+   the join's condition, so such rows never become pairs.
 4. Components of all links, by alternating large-star and small-star steps.
 
 A key held by a large group costs a row a member in 2, and in 3 only the few
@@ -46,6 +56,12 @@ from footgrid.shipping import map_arrow
 
 #: Shingles hashed at once.
 CHUNK = 400_000
+#: Minhashes of a sketch, sixteen a long; the bands' are the first of them.
+SKETCH = 112
+SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH // 16)]
+#: Bits of a bitmap of what a row lacks of, or has besides, a centre's set.
+BITS = 512
+BIT_COLUMNS = [f"b{i}" for i in range(2 * BITS // 64)]
 
 
 @dataclass(frozen=True)
@@ -90,12 +106,13 @@ def hashed_set(words: list[bytes], k: int, known: _WordHashes) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def bands(sets: list[np.ndarray], config: NearDup) -> np.ndarray:
-    """Both collections' band values of each set (sets x 2 * tables)."""
+def bands(sets: list[np.ndarray], config: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """Both collections' band values of each set (sets x 2 * tables) and the sketches (sets x SKETCH / 16)."""
     rng = np.random.Generator(np.random.PCG64(config.seed))
-    n = 2 * config.tables * config.rows
+    used = 2 * config.tables * config.rows
+    n = max(used, SKETCH)
     xor, mul = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n, np.uint64) | np.uint64(1)
-    out = np.zeros((len(sets), 2 * config.tables), np.uint64)
+    out, sketch = np.zeros((len(sets), 2 * config.tables), np.uint64), np.zeros((len(sets), SKETCH // 16), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     start = 0
     while start < len(full):
@@ -108,14 +125,16 @@ def bands(sets: list[np.ndarray], config: NearDup) -> np.ndarray:
         least = np.stack([np.minimum.reduceat(((data ^ xor[f]) * mul[f]) >> np.uint64(24), edges) for f in range(n)], axis=1)
         value = np.zeros((len(part), 2 * config.tables), np.uint64)
         for r in range(config.rows):
-            value = (value ^ (value >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r :: config.rows]
+            value = (value ^ (value >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r : used : config.rows]
         out[full[start:end]] = value
+        few = (least[:, :SKETCH] & np.uint64(15)).reshape(len(part), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+        sketch[full[start:end]] = np.bitwise_or.reduce(few, axis=2)
         start = end
-    return out
+    return out, sketch
 
 
 def signatures(documents: DataFrame, config: NearDup) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, first, second): digest of the set in two halves, bands of both collections."""
+    """(doc_id, n_shingles, set_a, set_b, first, second, sketch): digest of the set in two halves, bands of both collections."""
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -127,14 +146,17 @@ def signatures(documents: DataFrame, config: NearDup) -> DataFrame:
                 if len(known) > 300_000:
                     known.clear()
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
-                value = bands(sets, config).view(np.int64)
-                halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).ravel()), config.tables).cast(pa.list_(pa.int64())) for v in (value[:, : config.tables], value[:, config.tables :])]
+                value, sketch = (v.view(np.int64) for v in bands(sets, config))
+                lists = [
+                    pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).ravel()), v.shape[1]).cast(pa.list_(pa.int64()))
+                    for v in (value[:, : config.tables], value[:, config.tables :], sketch)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *halves],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "first", "second"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *lists],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "first", "second", "sketch"],
                 )
 
-    return map_arrow(rows, run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, first array<long>, second array<long>")
+    return map_arrow(rows, run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, first array<long>, second array<long>, sketch array<long>")
 
 
 def table_keys(classes: DataFrame, config: NearDup) -> DataFrame:
@@ -143,8 +165,20 @@ def table_keys(classes: DataFrame, config: NearDup) -> DataFrame:
     return classes.select(F.explode(pairs).alias("key"), "rep", F.col("n_shingles").alias("n"))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts' sets are similar enough."""
+def _bits(some: set) -> list[int]:
+    """A bitmap of BITS bits over hashed shingles, as signed 64-bit words."""
+    found = 0
+    for x in some:
+        found |= 1 << (xxhash.xxh3_64_intdigest(b" ".join(x)) % BITS)
+    return np.frombuffer(found.to_bytes(BITS // 8, "little"), "<i8").tolist()
+
+
+def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFrame:
+    """(a, b, linked, centre_n, lacks, besides, bits) of every pair: whether their texts' sets are similar enough.
+
+    Seen from b: the size of its set, how many of it a lacks, how many a has
+    besides, and both bitmaps; null for pairs of similarity under a half.
+    """
     texts = documents.select("doc_id", "text")
     both = (
         pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
@@ -157,16 +191,23 @@ def confirmed(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFr
         last, centre = None, set()  # the join leaves rows of one b together
         for batch in batches:
             for part in slices(batch, 8 << 20):
-                keep = []
+                found = []
                 for text_a, text_b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     if text_b != last:
                         last, centre = text_b, shingles(words_of(text_b), config.shingle)
                     own = shingles(words_of(text_a), config.shingle)
                     common = len(own & centre)
-                    keep.append(common > 0 and 100 * common >= config.percent * (len(own) + len(centre) - common))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    union = len(own) + len(centre) - common
+                    linked = common > 0 and 100 * common >= config.percent * union
+                    if common > 0 and 2 * common >= union:
+                        found.append((linked, len(centre), len(centre) - common, len(own) - common, _bits(centre - own) + _bits(own - centre)))
+                    else:
+                        found.append((linked, None, None, None, None))
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                columns = [pa.array(x, k) for x, k in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["a", "b", "linked", "centre_n", "lacks", "besides", "bits"])
 
-    return map_arrow(both, run, f"a {kind}, b {kind}").distinct()
+    return map_arrow(both, run, f"a {kind}, b {kind}, linked boolean, centre_n long, lacks long, besides long, bits array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,35 +232,83 @@ def _possible(a: str, b: str, config: NearDup):
     return (F.col(a) * 100 >= F.col(b) * config.percent) & (F.col(b) * 100 >= F.col(a) * config.percent)
 
 
+def _alike(config: NearDup):
+    """Whether the sketches x_s* and y_s* agree in enough places."""
+    p = config.percent / 100 + (1 - config.percent / 100) / 16
+    least = int(SKETCH * p - 3.5 * (SKETCH * p * (1 - p)) ** 0.5)
+    apart = None
+    for c in SKETCH_COLUMNS:
+        d = F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111).cast("long"))
+        apart = F.bit_count(d) if apart is None else apart + F.bit_count(d)
+    return apart <= SKETCH - least
+
+
+def pivots(first: DataFrame) -> DataFrame:
+    """(rep, pivot, centre_n, lacks, besides, bitmaps) of the rows that are known against a centre."""
+    known = first.where("bits IS NOT NULL").withColumnsRenamed({"a": "rep", "b": "pivot"})
+    # Rows that repeat a doc_id can give one representative several comparisons: no bound holds for those.
+    once = known.groupBy("rep").agg(F.count("*").alias("k"), F.first(F.struct("pivot", "centre_n", "lacks", "besides", "bits")).alias("p")).where("k = 1")
+    return once.select("rep", "p.pivot", "p.centre_n", "p.lacks", "p.besides", *[F.col("p.bits")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)])
+
+
+def _common(count: str, columns: list[str]):
+    """At most so many of x's and y's shingles are common: the bits in common, and those that the fewer collisions hide."""
+
+    def ones(f):
+        parts = [F.bit_count(f(c)) for c in columns]
+        return sum(parts[1:], parts[0])
+
+    hidden = F.least(*[F.col(f"{t}_{count}") - ones(lambda c, t=t: F.col(f"{t}_{c}")) for t in "xy"])
+    return ones(lambda c: F.col(f"x_{c}").bitwiseAND(F.col(f"y_{c}"))) + hidden
+
+
+def _excluded(config: NearDup):
+    """Whether x and y are known against the same centre and what that tells excludes the similarity."""
+    half = len(BIT_COLUMNS) // 2
+    most = F.col("x_centre_n") - F.col("x_lacks") - F.col("y_lacks") + _common("lacks", BIT_COLUMNS[:half]) + _common("besides", BIT_COLUMNS[half:])
+    return F.coalesce((F.col("x_pivot") == F.col("y_pivot")) & (100 * most < config.percent * (F.col("x_n") + F.col("y_n") - most)), F.lit(False))
+
+
 def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component."""
     keys = table_keys(classes, config)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
     # Rows of keys that several classes share; written once, used in both rounds.
-    held = stored(keys.join(shared.select("key", "low"), "key"), "near-dup-keys")
-    sizes = classes.select(F.col("rep").alias("low"), F.col("n_shingles").alias("low_n"))
-    # Counted per (rep, low) first, so a centre that many rows share is a few rows in the join.
-    star = held.where("rep <> low").groupBy("rep", "n", "low").agg(F.count("*").alias("tables"))
-    star = star.join(sizes, "low").where(_possible("n", "low_n", config))
-    best = star.groupBy("rep").agg(F.max_by("low", F.struct("tables", -F.col("low"))).alias("low"))
-    first = stored(confirmed(best.select(F.col("rep").alias("a"), F.col("low").alias("b")), documents, config), "near-dup-links")
-
-    roots = components(first)
+    held = stored(keys.join(shared.select("key", "size"), "key"), "near-dup-keys")
+    weights = held.groupBy("rep").agg(F.sum("size").alias("weight"))
+    centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
+    sizes = classes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_n"))
+    # Counted per (rep, centre) first, so a centre that many rows share is a row for each of them in the join.
+    star = held.join(centres, "key").where("rep <> centre").groupBy("rep", "n", "centre").agg(F.count("*").alias("tables"))
+    star = star.join(sizes, "centre").where(_possible("n", "centre_n", config))
+    best = star.groupBy("rep").agg(F.max_by("centre", F.struct("tables", -F.col("centre"))).alias("centre"))
+    asked = stored(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")), "near-dup-asked")
+    first = stored(compared(asked, documents, config), "near-dup-compared")
+    found = first.where("linked").select("a", "b").distinct()
+
+    roots = components(found)
     labelled = held.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     parts = labelled.groupBy("key", "root").agg(F.count("*").alias("size"))
     open_keys = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    rest = stored(labelled.join(open_keys, "key"), "near-dup-open")
-    own = rest.where("root <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    other = rest.select("key", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"), "main")
+    sketches = classes.select("rep", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH_COLUMNS)])
+    rest = stored(labelled.join(open_keys, "key").join(sketches, "rep").join(pivots(first), "rep", "left"), "near-dup-open")
+
+    def side(t):
+        return [F.col("rep").alias(t), *[F.col(c).alias(f"{t}_{c}") for c in ("n", "root", "pivot", "centre_n", "lacks", "besides", *BIT_COLUMNS, *SKETCH_COLUMNS)]]
+
+    own, other = rest.where("root <> main").select("key", *side("x")), rest.select("key", *side("y"), "main")
     pairs = (
         own.join(other, "key")
         .where("x_root <> y_root AND (y_root = main OR x < y)")
-        .where(_possible("x_n", "y_n", config))
+        .where(_possible("x_n", "y_n", config) & ~_excluded(config) & _alike(config))
         .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         .distinct()
-        .join(best.select(F.col("rep").alias("a"), F.col("low").alias("b")), ["a", "b"], "left_anti")
+        .join(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    return first.unionByName(confirmed(stored(pairs, "near-dup-pairs"), documents, config))
+    second = compared(stored(pairs, "near-dup-pairs"), documents, config).where("linked").select("a", "b")
+    return found.unionByName(second)
 
 
 def apply(documents: DataFrame, config: NearDup = NearDup()) -> DataFrame:
@@ -228,10 +317,10 @@ def apply(documents: DataFrame, config: NearDup = NearDup()) -> DataFrame:
     usable = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
     classes = stored(
-        usable.groupBy(*same).agg(F.min(F.struct("doc_id", "first", "second")).alias("r")).select(*same, F.col("r.doc_id").alias("rep"), "r.first", "r.second"),
+        usable.groupBy(*same).agg(F.min(F.struct("doc_id", "first", "second", "sketch")).alias("r")).select(*same, F.col("r.doc_id").alias("rep"), "r.first", "r.second", "r.sketch"),
         "near-dup-classes",
     )
-    roots = components(links(documents, classes.select("rep", "n_shingles", "first", "second"), config))
+    roots = components(links(documents, classes.select("rep", "n_shingles", "first", "second", "sketch"), config))
     labelled = classes.select(*same, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     return (
