@@ -178,3 +178,13 @@ _LON, _LAT = G.wgs84_from_swiss("x", "y")
 _E, _M = G.swiss_from_wgs84("lon", "lat")
 _WX, _WY = G.web_mercator("lon", "lat")
 SQL["swiss_projection"] = f"{ctes('fx_node')}, p AS (SELECT node_id, {_LON} AS lon, {_LAT} AS lat FROM fx_node) SELECT node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round({_E}, 2) AS east, round({_M}, 2) AS north, round({_WX}, 2) AS wx, round({_WY}, 2) AS wy FROM p"
+
+
+def row_ids(spark, d):
+    """Dense ids of detections by (image, object)."""
+    from footgrid.schema import with_row_id
+
+    return with_row_id(fixture(spark, d, "fx_det").select("image_id", "obj_key"), "fid", "image_id", "obj_key")
+
+
+SQL["row_ids"] = f"{ctes('fx_det')} SELECT image_id, obj_key, row_number() OVER (ORDER BY image_id, obj_key) - 1 AS fid FROM fx_det"
