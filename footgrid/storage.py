@@ -33,3 +33,19 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files in whatever store holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables of one operator that its result doesn't need; ``clear`` deletes them once that is written."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.count = spark, new_folder(spark, what), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        delete_folder(self.spark, self.folder)
