@@ -106,3 +106,21 @@ def numbers_json(c: Column) -> Column:
 
 def argmax_label(p: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(p, F.array_max(p)).cast("int"))
+
+
+def bounds(coordinates: Column) -> Column:
+    """Least and greatest of a list of [x, y] as a struct."""
+    x, y = F.transform(coordinates, lambda p: p[0]), F.transform(coordinates, lambda p: p[1])
+    return F.struct(F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
+
+
+def flat_normalised(polygon: Column, width, height) -> Column:
+    """A list of [x, y] as one list of numbers in shares of the image's size."""
+    return F.flatten(F.transform(polygon, lambda p: F.array(p[0] / width, p[1] / height)))
+
+
+def normalised_probabilities(columns: list[Column]) -> Column:
+    """Probabilities that sum to 1; nulls count as 0, and all stay 0 where the sum is."""
+    clean = [F.coalesce(c, F.lit(0.0)) for c in columns]
+    total = sum(clean[1:], clean[0])
+    return F.array(*[c / F.when(total == 0, 1.0).otherwise(total) for c in clean])

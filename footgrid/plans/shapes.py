@@ -188,3 +188,36 @@ def row_ids(spark, d):
 
 
 SQL["row_ids"] = f"{ctes('fx_det')} SELECT image_id, obj_key, row_number() OVER (ORDER BY image_id, obj_key) - 1 AS fid FROM fx_det"
+
+_AREA = [[(2680200.0, 1246100.0), (2681500.0, 1246300.0), (2681800.0, 1247600.0), (2680500.0, 1247200.0)], [(2680900.0, 1246600.0), (2681200.0, 1246600.0), (2681200.0, 1246900.0), (2680900.0, 1246900.0)]]
+
+
+def study_area_points(spark, d):
+    return shapes.points_within(fixture(spark, d, "fx_cam"), "x", "y", _AREA).select("id")
+
+
+def _crossings(ring) -> str:
+    return "+".join(f"CASE WHEN ({ay} > y) <> ({by} > y) AND x < {ax} + (y - {ay}) / {by - ay or 1.0} * ({bx - ax}) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
+
+
+SQL["study_area_points"] = f"{ctes('fx_cam')} SELECT id FROM fx_cam WHERE (({_crossings(_AREA[0])}) % 2 + ({_crossings(_AREA[1])}) % 2) % 2 = 1"
+
+
+def study_area_segments(spark, d):
+    return shapes.segments_within(fixture(spark, d, "fx_seg"), _AREA).select("fid")
+
+
+_BORDERS = ", ".join(f"({ax}, {ay}, {bx}, {by})" for ring in _AREA for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
+SQL["study_area_segments"] = f"""{ctes('fx_seg')}, br(x1, y1, x2, y2) AS (VALUES {_BORDERS}), s AS (SELECT *, x1 AS x, y1 AS y FROM fx_seg)
+SELECT fid FROM s a WHERE (({_crossings(_AREA[0])}) % 2 + ({_crossings(_AREA[1])}) % 2) % 2 = 1 OR EXISTS (SELECT 1 FROM br b WHERE {G.segments_meet('a', 'b')})"""
+
+
+def attribute_transfer(spark, d):
+    seg = fixture(spark, d, "fx_seg").withColumns({c: F.round(c, 0) for c in ("x1", "y1", "x2", "y2")})
+    out = shapes.transfer_attributes(seg.where("fid % 2 = 0").select("fid", "x1", "y1", "x2", "y2"), seg.where("fid % 2 = 1").select("x1", "y1", "x2", "y2", F.col("fid").alias("other"), "highway"), ["other", "highway"])
+    return out.select("fid", "other", "highway", F.round("distance", 6).alias("distance"))
+
+
+SQL["attribute_transfer"] = f"""{ctes('fx_seg')}, m AS (SELECT fid, (round(x1, 0)+round(x2, 0))/2 AS mx, (round(y1, 0)+round(y2, 0))/2 AS my, highway FROM fx_seg),
+p AS (SELECT a.fid, b.fid AS other, b.highway, sqrt((a.mx-b.mx)*(a.mx-b.mx)+(a.my-b.my)*(a.my-b.my)) AS dist FROM m a JOIN m b ON a.fid % 2 = 0 AND b.fid % 2 = 1 AND abs(a.mx-b.mx) <= 10 AND abs(a.my-b.my) <= 10),
+r AS (SELECT *, rank() OVER (PARTITION BY fid ORDER BY dist) AS k FROM p WHERE dist <= 10) SELECT m.fid, r.other, r.highway, round(r.dist, 6) AS distance FROM m LEFT JOIN r ON r.fid = m.fid AND r.k = 1 WHERE m.fid % 2 = 0"""

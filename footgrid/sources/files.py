@@ -135,3 +135,16 @@ def write_vector(df: DataFrame, path: str, layer: str = "layer") -> str:
         kind = "gpkg"
         write_geopackage(df.toLocalIterator(), path if path.endswith(".gpkg") else f"{path}.gpkg", layer)
     return kind
+
+
+def feature_rows(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Features of GeoJSON collections as rows: their properties (a schema) and longitude and latitude."""
+    schema = f"features array<struct<geometry: struct<type: string, coordinates: array<double>>, properties: struct<{properties}>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    return rows.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
+
+
+def feature_collection(features: DataFrame, by: str | None = None) -> DataFrame:
+    """One GeoJSON collection, or one for each value of ``by``, of rows with a ``feature``; for results that fit a document."""
+    grouped = features.groupBy(*([by] if by else [])).agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("all"))
+    return grouped.select(*([by] if by else []), F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("collection"))

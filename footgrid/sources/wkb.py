@@ -108,3 +108,18 @@ def with_geometry(df: DataFrame, column: str = "geometry") -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return map_arrow(df, run, f"{fields}, kind string, rings array<array<struct<x:double,y:double>>>, parts array<int>")
+
+
+def with_wkb(df: DataFrame, kind: str = "kind", rings: str = "rings", parts: str = "parts", name: str = "geometry") -> DataFrame:
+    """Adds the binary of decoded geometries, for GeoParquet and other files."""
+    at = [df.columns.index(c) for c in (kind, rings, parts)]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k, r, p in zip(*(batch.column(i).to_pylist() for i in at)):
+                made.append(None if k is None or r is None else encode(k, [[(v["x"], v["y"]) for v in ring] for ring in r], p or (0,)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_arrow(df, run, f"{fields}, `{name}` binary")

@@ -78,3 +78,11 @@ def test_swiss_projection_round_trip():
     back = [_sql(x, e=e, n=n) for x in G.wgs84_from_swiss("e", "n")]
     assert abs(e - 2683000) < 2000 and abs(n - 1247000) < 2000
     assert abs(back[0] - lon) < 3e-5 and abs(back[1] - lat) < 3e-5
+
+
+def test_bounds_and_normalising(spark):
+    df = spark.createDataFrame([([[1.0, 8.0], [3.0, 4.0]],)], "c array<array<double>>")
+    assert tuple(df.select(S.bounds(F.col("c"))).first()[0]) == (1.0, 4.0, 3.0, 8.0)
+    assert df.select(S.flat_normalised(F.col("c"), 10, 8)).first()[0] == [0.1, 1.0, 0.3, 0.5]
+    p = spark.createDataFrame([(1.0, None, 3.0), (0.0, 0.0, 0.0)], "a double, b double, c double")
+    assert [r[0] for r in p.select(S.normalised_probabilities([F.col(x) for x in "abc"])).collect()] == [[0.25, 0.0, 0.75], [0.0, 0.0, 0.0]]

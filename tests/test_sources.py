@@ -91,3 +91,17 @@ def test_geojson_and_writers(spark, tmp_path):
     assert files.geojson(df, "geometry", "id").first()[0] == '{"type":"Feature","geometry":{"type":"Point","coordinates":[8.5,47.3]},"properties":{"id":1}}'
     assert files.write_vector(df, f"{tmp_path}/x.geojson") == "geojson"
     assert files.write_vector(df.select("id"), f"{tmp_path}/x.csv") == "csv"
+
+
+def test_features_and_collections(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"features": [{"geometry": {"type": "Point", "coordinates": [8.5, 47.3]}, "properties": {"id": "a", "is_pano": true}}, {"geometry": null, "properties": {"id": "b"}}]}')
+    rows = files.feature_rows(spark, f"file://{tmp_path}/c.json", "id: string, is_pano: boolean").collect()
+    assert [(r.id, r.is_pano, r.lon, r.lat) for r in rows] == [("a", True, 8.5, 47.3), ("b", None, None, None)]
+    made = files.feature_collection(spark.createDataFrame([("1", "{}"), ("1", "{}"), ("2", "{}")], "k string, feature string"), "k")
+    assert {r.k: r.collection for r in made.collect()} == {"1": '{"type":"FeatureCollection","features":[{},{}]}', "2": '{"type":"FeatureCollection","features":[{}]}'}
+
+
+def test_wkb_written_again(spark):
+    df = spark.createDataFrame([(i, bytearray(wkb.encode(*s))) for i, s in enumerate(SHAPES)], "id long, raw binary")
+    again = wkb.with_wkb(wkb.with_geometry(df, "raw"))
+    assert all(bytes(r.raw) == bytes(r.geometry) for r in again.collect())
