@@ -71,6 +71,22 @@ def covered_share(px, py, dx, dy, a, b, r) -> str:
     return f"greatest(0.0e0, least(1.0e0, greatest({high}))-greatest(0.0e0, least({low})))"
 
 
+def covered_steps(px, py, dx, dy, a, b, r) -> list[dict[str, str]]:
+    """``covered_share`` as columns to add one after the other, the last of them ``share``: every part is computed once."""
+    slabs = {"wx": (px, dx, f"({a})+({r})"), "nx": (px, dx, a), "wy": (py, dy, f"({b})+({r})"), "ny": (py, dy, b)}
+    first = {f"_{n}{i}": e for n, (p, d, h) in slabs.items() for i, e in enumerate(_slab(p, d, h))} | {"_q": f"({dx})*({dx})+({dy})*({dy})"}
+    corners = [(f"{s}({a})", f"{t}({b})") for s in ("", "-") for t in ("", "-")]
+    for k, (x, y) in enumerate(corners):
+        first |= {f"_h{k}": f"(({px})-({x}))*({dx})+(({py})-({y}))*({dy})", f"_c{k}": f"{dist2(px, py, x, y)}-({r})*({r})"}
+    second = {"_l4": "greatest(_wx0,_ny0)", "_u4": "least(_wx1,_ny1)", "_l5": "greatest(_nx0,_wy0)", "_u5": "least(_nx1,_wy1)"}
+    second |= {f"_d{k}": f"_h{k}*_h{k}-_q*_c{k}" for k in range(4)}
+    third = {f"_l{k}": f"CASE WHEN _q>0 AND _d{k}>=0 THEN (-_h{k}-sqrt(_d{k}))/_q ELSE 2.0e9 END" for k in range(4)}
+    third |= {f"_u{k}": f"CASE WHEN _q>0 AND _d{k}>=0 THEN (-_h{k}+sqrt(_d{k}))/_q ELSE -2.0e9 END" for k in range(4)}
+    low = ",".join([*(f"_l{k}" for k in range(4)), *(f"CASE WHEN _l{k}<=_u{k} THEN _l{k} ELSE 2.0e9 END" for k in (4, 5))])
+    high = ",".join([*(f"_u{k}" for k in range(4)), *(f"CASE WHEN _l{k}<=_u{k} THEN _u{k} ELSE -2.0e9 END" for k in (4, 5))])
+    return [first, second, third, {"_low": f"least({low})", "_high": f"greatest({high})"}, {"share": "greatest(0.0e0, least(1.0e0, _high)-greatest(0.0e0, _low))"}]
+
+
 def swiss_from_wgs84(lon, lat) -> tuple[str, str]:
     """East and north in metres by the published approximation formulas (about a metre)."""
     p, l = f"((({lat})*3600-169028.66e0)/10000)", f"((({lon})*3600-26782.5e0)/10000)"

@@ -65,6 +65,16 @@ def test_covered_share_by_sampling():
         assert abs(_sql(share, **v) - hits / n) < 2e-3
 
 
+def test_covered_steps_equal_the_expression():
+    rng, share = random.Random(4), G.covered_share("px", "py", "dx", "dy", "a", "b", "r")
+    for _ in range(40):
+        v = {k: float(rng.choice([0, 0, rng.uniform(-9, 9)])) for k in ("px", "py", "dx", "dy")} | {"a": rng.uniform(0, 4), "b": 0.0, "r": rng.choice([0.0, 2.0])}
+        inner = "SELECT " + ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in v.items())
+        for step in G.covered_steps("px", "py", "dx", "dy", "a", "b", "r"):
+            inner = f"SELECT *, {', '.join(f'{e} AS {k}' for k, e in step.items())} FROM ({inner})"
+        assert abs(duckdb.connect().execute(f"SELECT share FROM ({inner})").fetchall()[0][0] - _sql(share, **v)) < 1e-12
+
+
 def test_point_segment_distance():
     d2 = G.point_segment_dist2("px", "py", "x1", "y1", "x2", "y2")
     assert _sql(d2, px=0, py=5, x1=-3, y1=0, x2=3, y2=0) == 25
