@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.llm.common import slices, stored
+from footgrid.llm.common import Scratch, slices, stored
 from footgrid.shipping import map_arrow
 
 #: Shingles hashed at once.
@@ -143,7 +143,7 @@ def signatures(documents: DataFrame, config: NearDup) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 8 << 20):
                 sets = [hashed_set(words_of(t), config.shingle, known) for t in part.column(1).to_pylist()]
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
                 value, sketch = (v.view(np.int64) for v in bands(sets, config))
@@ -212,19 +212,22 @@ def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of undirected links (a, b); root: the component's least node."""
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    scratch = Scratch(links.sparkSession, "links")
+    edges = scratch.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(state)
+        # Done when every edge runs from a node of that one edge to a node that starts none.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("starts")), F.struct(F.col("v").alias("node"), F.lit(0).alias("starts")))).alias("e"))
+        roles = ends.groupBy("e.node").agg(F.sum("e.starts").alias("starts"), F.count("*").alias("n"))
+        if roles.where("starts > 1 OR (starts = 1 AND n > 1)").isEmpty():
+            found = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+            scratch.clear()
+            return found
         every = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        edges = scratch.stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
 
 
 def _possible(a: str, b: str, config: NearDup):
@@ -273,10 +276,11 @@ def _excluded(config: NearDup):
 
 def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component."""
+    scratch = Scratch(classes.sparkSession, "near-dup")
     keys = table_keys(classes, config)
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
     # Rows of keys that several classes share; written once, used in both rounds.
-    held = stored(keys.join(shared.select("key", "size"), "key"), "near-dup-keys")
+    held = scratch.stored(keys.join(shared.select("key", "size"), "key"))
     weights = held.groupBy("rep").agg(F.sum("size").alias("weight"))
     centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
     sizes = classes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_n"))
@@ -284,8 +288,8 @@ def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFram
     star = held.join(centres, "key").where("rep <> centre").groupBy("rep", "n", "centre").agg(F.count("*").alias("tables"))
     star = star.join(sizes, "centre").where(_possible("n", "centre_n", config))
     best = star.groupBy("rep").agg(F.max_by("centre", F.struct("tables", -F.col("centre"))).alias("centre"))
-    asked = stored(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")), "near-dup-asked")
-    first = stored(compared(asked, documents, config), "near-dup-compared")
+    asked = scratch.stored(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    first = scratch.stored(compared(asked, documents, config))
     found = first.where("linked").select("a", "b").distinct()
 
     roots = components(found)
@@ -293,7 +297,7 @@ def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFram
     parts = labelled.groupBy("key", "root").agg(F.count("*").alias("size"))
     open_keys = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     sketches = classes.select("rep", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH_COLUMNS)])
-    rest = stored(labelled.join(open_keys, "key").join(sketches, "rep").join(pivots(first), "rep", "left"), "near-dup-open")
+    rest = scratch.stored(labelled.join(open_keys, "key").join(sketches, "rep").join(pivots(first), "rep", "left"))
 
     def side(t):
         return [F.col("rep").alias(t), *[F.col(c).alias(f"{t}_{c}") for c in ("n", "root", "pivot", "centre_n", "lacks", "besides", *BIT_COLUMNS, *SKETCH_COLUMNS)]]
@@ -307,8 +311,10 @@ def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFram
         .distinct()
         .join(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    second = compared(stored(pairs, "near-dup-pairs"), documents, config).where("linked").select("a", "b")
-    return found.unionByName(second)
+    second = compared(scratch.stored(pairs), documents, config).where("linked").select("a", "b")
+    every = stored(found.unionByName(second), "near-dup-links")
+    scratch.clear()
+    return every
 
 
 def apply(documents: DataFrame, config: NearDup = NearDup()) -> DataFrame:
