@@ -142,6 +142,11 @@ class Bpe:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Free what is remembered of matches: workers live on after a task, and other operators need their memory."""
+        self.known.clear()
+        self.pairs.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -156,7 +161,7 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 
 
 def loaded(path: str, pattern: str) -> Bpe:
-    """A worker's encoder; workers are reused, so their memory of matches lasts over tasks."""
+    """A worker's encoder; workers are reused, so the ranks are read once."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(read_ranks(path), pattern)
     return _loaded[path, pattern]
@@ -174,6 +179,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
+        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
@@ -196,6 +202,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
