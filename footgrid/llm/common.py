@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.storage import new_folder, stored
+from footgrid.storage import Scratch, new_folder, stored
 
 #: The white space of the word contracts: \x20 and \x09-\x0D, which is what ``bytes.split()`` splits on.
 SPACES = " \t\n\x0b\x0c\r"
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
+__all__ = ["LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
