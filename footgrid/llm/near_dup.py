@@ -282,11 +282,8 @@ def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFram
     # Rows of keys that several classes share; written once, used in both rounds.
     held = scratch.stored(keys.join(shared.select("key", "size"), "key"))
     weights = held.groupBy("rep").agg(F.sum("size").alias("weight"))
-    centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
-    sizes = classes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_n"))
-    # Counted per (rep, centre) first, so a centre that many rows share is a row for each of them in the join.
-    star = held.join(centres, "key").where("rep <> centre").groupBy("rep", "n", "centre").agg(F.count("*").alias("tables"))
-    star = star.join(sizes, "centre").where(_possible("n", "centre_n", config))
+    centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "n")).alias("c")).select("key", (-F.col("c.least")).alias("centre"), F.col("c.n").alias("centre_n"))
+    star = held.join(centres, "key").where("rep <> centre").where(_possible("n", "centre_n", config)).groupBy("rep", "centre").agg(F.count("*").alias("tables"))
     best = star.groupBy("rep").agg(F.max_by("centre", F.struct("tables", -F.col("centre"))).alias("centre"))
     asked = scratch.stored(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
     first = scratch.stored(compared(asked, documents, config))
