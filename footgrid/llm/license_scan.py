@@ -1,13 +1,14 @@
 """License scans: a trained paragraph classifier, in DataFrame operations on its main path.
 
-A paragraph is a line of a text. Those that hold a cue (a stem that every notice
-has) are classified by multinomial logistic regression over sparse word
-unigrams and bigrams into licence families or ``unknown``; a paragraph without
-a cue is unknown. Distinct paragraphs explode into features that meet the
+A paragraph is a line of a text. Paragraphs are classified by multinomial
+logistic regression over sparse word unigrams and bigrams into licence families
+or ``unknown``. Distinct paragraphs explode into features that meet the
 weights in a broadcast equi-join (the vocabulary is fixed by the notices), and
 sums per paragraph give the probabilities. The predicted family is confirmed
 against its notices: the paragraph's bigrams and some notice's must agree to
 ``agreement`` by their overlap coefficient (common over the smaller set).
+Paragraphs that agree so with no family's notice cannot be confirmed whatever
+their probabilities, so they are left out before; this loses no result.
 
 The model is fitted once on the notices below, variants of them with words left
 out, and sentences that hold cues without granting anything; its temperature is
@@ -110,7 +111,7 @@ OTHERS = (
     "The nurse is licensed to work in two states.", "Poetic license lets the author bend the facts.", "Rights reserved for the crown were listed in the charter.",
     "The license fee for television rises every year.", "Without permission nobody may enter the garden.", "The minister spoke about licensing of taxis.",
 )
-#: Stems in lower case of which every notice has one.
+#: Stems in lower case that notices usually hold.
 CUES = ("licen", "copyright", "permission", "public domain", "rights reserved")
 WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
@@ -196,17 +197,38 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) < 2, words).otherwise(pairs))
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, paragraph) of the lines that hold a cue."""
-    low = F.lower(F.col("text"))
-    any_cue = low.contains(CUES[0])
-    for cue in CUES[1:]:
-        any_cue = any_cue | low.contains(cue)
-    lines = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(any_cue)
-    return (
-        lines.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("place", "paragraph"))
-        .where(F.lower("paragraph").rlike("|".join(CUES)))
-    )
+def _agreement(grams: Column, common: Column, template: Column) -> Column:
+    """The overlap coefficient of a paragraph's bigrams and a template's; ``common``: those of the former that any template has."""
+    return F.round(F.size(F.array_intersect(template, common)) / F.greatest(F.least(F.size(grams), F.size(template)), F.lit(1)), 6)
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(family, distinct bigrams) of each notice."""
+    return tuple((f, tuple(sorted({" ".join(x) for x in zip(w, w[1:])}))) for f, texts in NOTICES.items() for w in map(words_of, texts))
+
+
+def _agrees(grams: Column, config: LicenseScan) -> Column:
+    """Whether some family's notice agrees, as every confirmed paragraph's does."""
+    known = sorted({g for _, t in templates() for g in t})
+    every = F.array(*[F.array(*[F.lit(g) for g in t]) for t in sorted({t for _, t in templates()})])
+
+    def some(g: Column) -> Column:
+        common = F.filter(g, lambda x: x.isin(known))
+        return F.exists(F.array(common), lambda c: (F.size(c) > 0) & F.exists(every, lambda t: _agreement(g, c, t) >= config.agreement))
+
+    # Each array of one element names what is inside, so it is computed once.
+    return F.exists(F.array(grams), some) if config.agreement > 0 else F.lit(True)
+
+
+def _words(paragraph: str) -> Column:
+    return F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
+
+
+def paragraphs(documents: DataFrame, config: LicenseScan = LicenseScan()) -> DataFrame:
+    """(doc_id, text_hash, place, paragraph) of the lines that agree with a notice."""
+    lines = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "paragraph"))
+    return lines.where(_agrees(_grams(_words("paragraph")), config))
 
 
 def scored(distinct: DataFrame, config: LicenseScan) -> DataFrame:
@@ -214,8 +236,7 @@ def scored(distinct: DataFrame, config: LicenseScan) -> DataFrame:
     spark, model = distinct.sparkSession, train(config)
     # Bounded by the notices above: about two thousand features.
     weights = F.broadcast(spark.createDataFrame([(f, list(w)) for f, w in model.weights.items()], "feature string, w array<double>"))
-    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({WORD})"), F.lit(1))
-    rows = distinct.select("paragraph", words.alias("words"))
+    rows = distinct.select("paragraph", _words("paragraph").alias("words"))
     features = F.explode(F.array_union(F.array_distinct("words"), F.when(F.size("words") > 1, _grams(F.col("words"))).otherwise(F.array().cast("array<string>"))))
     n = len(model.families)
     sums = (
@@ -230,23 +251,23 @@ def scored(distinct: DataFrame, config: LicenseScan) -> DataFrame:
         .withColumn("p", F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
         .withColumn("best", F.element_at(families, F.array_position("e", F.array_max("e")).cast("int")))
     )
-    templates = F.broadcast(
-        spark.createDataFrame([(f, sorted({" ".join(x) for x in zip(w, w[1:])})) for f, texts in NOTICES.items() for w in map(words_of, texts)], "best string, grams array<string>")
+    notices = F.broadcast(
+        spark.createDataFrame([(f, list(t)) for f, t in templates()], "best string, grams array<string>")
         .groupBy("best").agg(F.collect_list("grams").alias("templates"))
     )
     own = _grams(F.col("words"))
-    agreement = F.array_max(F.transform(F.coalesce("templates", F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect("grams", t)) / F.greatest(F.least(F.size("grams"), F.size(t)), F.lit(1))))
+    agreement = F.array_max(F.transform(F.coalesce("templates", F.array().cast("array<array<string>>")), lambda t: _agreement(F.col("grams"), F.col("grams"), t)))
     return (
-        shaped.withColumn("grams", own).join(templates, "best", "left")
-        .withColumn("agreement", F.round(F.coalesce(agreement, F.lit(0.0)), 6))
+        shaped.withColumn("grams", own).join(notices, "best", "left")
+        .withColumn("agreement", F.coalesce(agreement, F.lit(0.0)))
         .withColumn("family", F.when(F.col("p") >= config.probability, F.col("best")).otherwise(F.lit(UNKNOWN)))
         .select("paragraph", "family", F.round("p", 6).alias("probability"), "agreement", ((F.col("family") != UNKNOWN) & (F.col("agreement") >= config.agreement)).alias("confirmed"))
     )
 
 
 def scan(documents: DataFrame, config: LicenseScan = LicenseScan()) -> DataFrame:
-    """(doc_id, text_hash, place, paragraph, family, probability, agreement, confirmed) of every paragraph with a cue."""
-    found = paragraphs(documents)
+    """(doc_id, text_hash, place, paragraph, family, probability, agreement, confirmed) of every paragraph that agrees with a notice."""
+    found = paragraphs(documents, config)
     return found.join(scored(found.select("paragraph").distinct(), config), "paragraph")
 
 

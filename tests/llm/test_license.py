@@ -29,3 +29,25 @@ def test_awkward_rows(spark):
     got = sorted((r.doc_id or 0, r.n_notices, r.families) for r in L.apply(docs).collect())
     assert [x for x in got if x[1]] == [(0, 1, "MIT"), (7, 1, "MIT"), (7, 3, "CC-BY-NC,MIT")]
     assert len(got) == docs.count() and L.apply(empty(spark)).count() == 0
+
+
+def test_notices_without_a_cue_are_found(spark):
+    notices = [
+        ("CC-BY-SA", "Text is available under CC BY-SA 4.0."), ("CC-BY", "Available under CC BY 4.0."), ("GPL", "Released under the terms of the GNU GPL."),
+        ("GPL", "Distributed under the GPL version 2 or later."), ("public domain", "This is free and unencumbered software."),
+        ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        ("proprietary", "Unauthorized copying of this file is strictly prohibited."),
+    ]
+    assert not any(c in t.lower() for _, t in notices for c in L.CUES)
+    prose = ["The house is free of charge.", "The second version was better than the first", "Recipes in the book", "You may come with us."]
+    docs = [(i, f"some words\n{t}\nmore words") for i, (_, t) in enumerate(notices)] + [(100 + i, t) for i, t in enumerate(prose)]
+    got = {r.doc_id: r.families for r in L.apply(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: f for i, (f, _) in enumerate(notices)} | {100 + i: "" for i in range(len(prose))}
+
+
+def test_the_screen_leaves_out_nothing_that_is_confirmed(spark):
+    words = [w for texts in L.NOTICES.values() for t in texts for w in L.words_of(t)]
+    lines = sorted({" ".join(words[i : i + n]) for n in (1, 2, 3, 5, 9, 30) for i in range(0, len(words), 3)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    every = {r.paragraph for r in L.scored(docs.selectExpr("text AS paragraph"), L.LicenseScan()).where("confirmed").collect()}
+    assert every and {r.paragraph for r in L.scan(docs).where("confirmed").collect()} == every
