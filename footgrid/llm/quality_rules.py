@@ -10,11 +10,10 @@ it independent of length. A document is kept if it passes the base rules and
 scores at least ``threshold``: no sampling and no noise, the same document
 always gets the same verdict against the same counts.
 
-The trusted documents are the ``target_bound`` labelled ones of least hash (a
-documented bound on the fit, broadcast as ids); the raw counts cover all rows.
-Each task adds its documents' counts in numpy and emits one row a bucket, so
-hot sources or copies cost nothing extra and what is shuffled doesn't depend on
-any key of the data.
+The raw counts cover all rows, the target ones all trusted rows; labels meet
+documents in a join by doc_id, of whatever kind their size allows. Each task adds
+its documents' counts in numpy and emits one row a bucket, so hot sources or
+copies cost nothing extra.
 
 Null texts have no words and fail the base rules; without any trusted document
 the score is 0 and only the base rules decide. Repeated rows count as often as
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.llm.common import SPACES, bounded_ids, slices
+from footgrid.llm.common import SPACES, slices
 from footgrid.shipping import map_arrow
 
 SYMBOLS = "#*$%&|<>"
@@ -46,7 +45,6 @@ class QualityRules:
     alpha: float = 1.0
     #: Mean log-likelihood ratio from which a document is kept.
     threshold: float = -0.25
-    target_bound: int = 20_000
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
@@ -97,14 +95,16 @@ def features(ids: np.ndarray, seen: dict[bytes, int], buckets: int) -> np.ndarra
 
 
 def target_ids(labels: DataFrame, config: QualityRules) -> DataFrame:
-    return bounded_ids(labels.where("quality = 1"), config.target_bound)
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def bucket_counts(documents: DataFrame, trusted: DataFrame, config: QualityRules) -> np.ndarray:
     """Raw and target counts of every bucket, as two rows of 2 * buckets numbers."""
-    # At most target_bound ids: the broadcast has that size whatever the input.
-    marked = documents.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id").distinct().withColumn("trusted", F.lit(True))), "doc_id", "left"
+    rows, good = documents.select("doc_id", "text"), trusted.select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    # Rows without an id are never trusted; in a shuffled join they would all meet in one task.
+    marked = (
+        rows.where("doc_id IS NOT NULL").join(good, "doc_id", "left").select("text", "trusted")
+        .unionByName(rows.where("doc_id IS NULL").select("text", F.lit(None).cast("boolean").alias("trusted")))
     )
 
     def run(batches):
@@ -119,7 +119,7 @@ def bucket_counts(documents: DataFrame, trusted: DataFrame, config: QualityRules
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(found[0][used]), pa.array(found[1][used])], ["bucket", "raw", "target"])
 
     sums = (
-        map_arrow(marked.select("text", "trusted"), run, "bucket long, raw long, target long")
+        map_arrow(marked, run, "bucket long, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
     out = np.zeros((2, 2 * config.buckets), np.int64)

@@ -56,6 +56,19 @@ def test_llr_by_hand(spark):
     assert got[1] > got[2]
 
 
+def test_every_trusted_row_counts(spark):
+    config, n = R.QualityRules(buckets=64), 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "'alpha' AS text").unionByName(spark.createDataFrame([(None, "alpha")] * 3, "doc_id long, text string"))
+    trusted = R.target_ids(spark.range(n).selectExpr("id AS doc_id", "1 AS quality"), config)
+    broadcast = R.bucket_counts(docs, trusted, config)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = R.bucket_counts(docs, trusted, config)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert broadcast.sum(axis=1).tolist() == shuffled.sum(axis=1).tolist() == [n + 3, n]
+
+
 def test_labelled_documents_are_told_apart(spark, tiny):
     sf = tiny.replace("0.001", "0.01")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
