@@ -2,7 +2,8 @@
 
 A street graph is small beside the requests put to it: its edges are counted
 first, and up to ``broadcast_edges`` are handed to the tasks as adjacency
-arrays, over which requests spread. A larger graph is relaxed by joins.
+arrays, over which requests spread. A larger graph is refused; for it,
+``relaxed_costs`` gives costs by joins, but no paths or alternatives.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
 
 
 def relaxed_costs(requests: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(request_id, node, cost) from each request's source to every node it reaches, by rounds of joins; for graphs of any size."""
+    """(request_id, node, cost) from each request's source to every node it reaches, by rounds of joins; for graphs of any size. Costs not settled after ``max_rounds`` are an error."""
     e = edges.select("u", "v", "length_m", "safety")
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m", "safety"))
     best = stored(requests.select("request_id", "alpha", "beta", F.col("source").alias("node"), F.lit(0.0).alias("cost")), "relax")
@@ -136,6 +137,8 @@ def relaxed_costs(requests: DataFrame, edges: DataFrame, max_rounds: int = 10_00
         if front.isEmpty():
             break
         best = stored(best.unionByName(front).groupBy("request_id", "alpha", "beta", "node").agg(F.min("cost").alias("cost")), "relax")
+    else:
+        raise RuntimeError(f"costs are not settled after {max_rounds} rounds")
     return best.select("request_id", "node", "cost")
 
 
