@@ -97,6 +97,8 @@ NOTICES = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
+        "All rights reserved.",
+        "Unauthorized copying of this file is strictly prohibited.",
         "Copyright 2020 the authors. All rights reserved.",
         "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential. All rights reserved.",
         "This software is licensed, not sold; you must accept the end user license agreement.",

@@ -51,3 +51,11 @@ def test_the_screen_leaves_out_nothing_that_is_confirmed(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     every = {r.paragraph for r in L.scored(docs.selectExpr("text AS paragraph"), L.LicenseScan()).where("confirmed").collect()}
     assert every and {r.paragraph for r in L.scan(docs).where("confirmed").collect()} == every
+
+
+def test_copyright_lines_of_any_holder(spark):
+    lines = ["Copyright (c) 2021 Example Corp. All rights reserved.", "Copyright 2019 Acme Inc. All rights reserved.", "All rights reserved."]
+    lines += ["the river of the town was high " * n + "All rights reserved." for n in (1, 3, 50)]
+    docs = [*enumerate(lines), (100, "All rights of the crown were reserved."), (101, "Copyright 2019 is the year of the report.")]
+    got = {r.doc_id: r.families for r in L.apply(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: "proprietary" for i in range(len(lines))} | {100: "", 101: ""}
