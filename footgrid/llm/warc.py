@@ -17,7 +17,9 @@ gives an empty archive; other columns are ignored.
 
 A payload's group is pre-aggregated to one row (its largest page id) before the
 join back, so a payload that a third of all rows share costs no large group;
-the joins are plain equi-joins that AQE can split.
+the joins are plain equi-joins that AQE can split. Record ids are unique: they
+hold a row's own number beside its page id, which may be of any type that casts
+to a string.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), BASE32_HEX, BASE32)
 
 
-def _record_uri(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:footgrid:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+def _record_uri(page_id: Column, row: Column) -> Column:
+    """A record's id: the page id, percent-encoded (``~`` for null, which that never gives), and the row's number."""
+    return F.concat(F.lit("<urn:footgrid:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("~")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -64,58 +67,67 @@ def header_block(config: Warc) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", _record_uri(F.col("page_id"))),
+        _line("WARC-Record-ID", _record_uri(F.col("page_id"), F.col("row"))),
         F.coalesce(_line("WARC-Target-URI", url), F.lit("")),
         _line("WARC-Date", F.lit(config.date)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(_line("WARC-Refers-To", _record_uri(F.col("refers_to"))), F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(_line("WARC-Refers-To", _record_uri(F.col("refers_to"), F.col("response.row"))), F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}"))).otherwise(F.lit("")),
         _line("Content-Type", F.lit(config.content_type)),
         _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
     )
 
 
-def records(pages: DataFrame, config: Warc = Warc()) -> DataFrame:
-    """(page_id, url, payload, n_bytes, sha1, sha256, response, record_type, refers_to) of every row."""
+def hashed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, row, n_bytes, sha1, sha256) of every row; row: a number of its own."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumns({
+    return pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumns({
         "n_bytes": F.octet_length("payload").cast("long"),
+        "sha1": base32_sha1(F.col("payload").cast("binary")),
         "sha256": F.sha2(F.col("payload").cast("binary"), 256),
     })
-    leaders = hashed.groupBy("sha256").agg(F.max("page_id").alias("response"))
-    revisit = (F.col("n_bytes") >= config.min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("response"))
+
+
+def records(pages: DataFrame, config: Warc = Warc()) -> DataFrame:
+    """(page_id, url, row, n_bytes, sha1, sha256, response, record_type, refers_to) of every row; payloads stay behind."""
+    rows = hashed(pages).drop("payload")
+    leaders = rows.groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("response"))
+    revisit = (F.col("n_bytes") >= config.min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("response.page_id"))
     return (
-        hashed.join(leaders, "sha256")
-        .withColumn("sha1", base32_sha1(F.col("payload").cast("binary")))
+        rows.join(leaders, "sha256")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("response")))
+        .withColumn("refers_to", F.when(revisit, F.col("response.page_id")))
     )
 
 
 def write_archive(pages: DataFrame, path: str, config: Warc = Warc()) -> str:
-    """Write the archive of ``pages`` (page_id, url, html) below ``path``."""
-    all_records = records(pages, config)
-    all_records.select("sha256", F.concat(header_block(config), F.lit(CRLF)).alias("header")).write.parquet(f"{path}/headers")
-    # One row per payload: that of the response. Only rows that repeat its page id are left to be dropped.
-    (
-        all_records.where(F.col("page_id").eqNullSafe(F.col("response")))
-        .select("sha256", "payload").dropDuplicates(["sha256"])
-        .write.parquet(f"{path}/payloads")
-    )
+    """Write the archive of ``pages`` (page_id, url, html) below ``path``.
+
+    Only ``payloads`` shuffles bytes of payloads: once, after each task has
+    dropped the copies that it saw itself.
+    """
+    records(pages, config).select("sha256", F.concat(header_block(config), F.lit(CRLF)).alias("header")).write.parquet(f"{path}/headers")
+    hashed(pages).select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
     return path
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload, sha256) of every record, payloads verified; a revisit gets the payload it refers to."""
+    """(header, payload, sha256, payload_bytes, payload_sha1) of every record; a revisit gets the payload it refers to.
+
+    Each stored payload is verified against its digest and measured once, where
+    it is read, however many records share it; whoever asks for no payloads
+    shuffles none.
+    """
     headers = spark.read.schema("sha256 string, header string").parquet(f"{path}/headers")
     stored = spark.read.schema("sha256 string, payload string").parquet(f"{path}/payloads")
-    verified = stored.withColumn(
-        "payload",
-        F.when(F.sha2(F.col("payload").cast("binary"), 256) == F.col("sha256"), F.col("payload"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256")))),
-    )
-    return headers.join(verified, "sha256", "left").withColumn(
-        "payload", F.when(F.col("payload").isNull(), F.raise_error(F.concat(F.lit("no payload for "), F.col("sha256")))).otherwise(F.col("payload"))
+    data = F.col("payload").cast("binary")
+    right = F.sha2(data, 256) == F.col("sha256")
+    wrong = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256")))
+    verified = stored.select(
+        "sha256", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.concat(base32_sha1(data), F.when(right, "").otherwise(wrong)).alias("payload_sha1"),
     )
+    missing = F.raise_error(F.concat(F.lit("no payload for "), F.col("sha256")))
+    return headers.join(verified, "sha256", "left").withColumn("payload_sha1", F.when(F.col("payload_sha1").isNull(), missing).otherwise(F.col("payload_sha1")))
 
 
 def header_value(name: str, pattern: str = "([^\r\n]*)") -> Column:
@@ -123,17 +135,17 @@ def header_value(name: str, pattern: str = "([^\r\n]*)") -> Column:
     return F.nullif(F.regexp_extract("header", f"\r\n{name}: {pattern}\r\n", 1), F.lit(""))
 
 
-def parsed(archive: DataFrame) -> DataFrame:
-    """The archive's records with the fields of their headers."""
-    uri = "<urn:footgrid:page:([0-9-]*)>"
-    digest = base32_sha1(F.col("payload").cast("binary"))
+def parsed(archive: DataFrame, kind: str = "long") -> DataFrame:
+    """The archive's records with the fields of their headers; kind: the type of page ids."""
+
+    def page(name: str) -> Column:
+        return F.url_decode(F.nullif(F.split_part(header_value(name), F.lit(":"), F.lit(4)), F.lit("~"))).cast(kind)
+
     return archive.select(
-        header_value("WARC-Record-ID", uri).cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(header_value("WARC-Payload-Digest", "sha1:([A-Z2-7]*)") == digest, digest)
+        page("WARC-Record-ID").alias("page_id"), "payload_bytes",
+        F.when(header_value("WARC-Payload-Digest", "sha1:([A-Z2-7]*)") == F.col("payload_sha1"), F.col("payload_sha1"))
         .otherwise(F.raise_error(F.lit("payload does not match its header's digest"))).alias("payload_digest"),
-        header_value("WARC-Type").alias("record_type"),
-        header_value("WARC-Refers-To", uri).cast("long").alias("refers_to"),
+        header_value("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
     )
 
 
@@ -146,4 +158,4 @@ def export_warc(archive: DataFrame, path: str) -> None:
 def round_trip(pages: DataFrame, config: Warc = Warc()) -> DataFrame:
     """Write the archive of ``pages`` to the shared folder, read it back and give its records' fields."""
     path = write_archive(pages, new_folder(pages.sparkSession, "warc"), config)
-    return parsed(read_archive(pages.sparkSession, path))
+    return parsed(read_archive(pages.sparkSession, path), pages.schema["page_id"].dataType.simpleString())

@@ -38,6 +38,18 @@ def test_payloads_are_stored_once_and_verified(spark, tmp_path):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-broken/headers")
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(spark, f"{path}-broken").collect()
+    with pytest.raises(Exception, match="does not match"):
+        warc.parsed(warc.read_archive(spark, f"{path}-broken")).collect()
+
+
+def test_record_ids_are_unique_and_page_ids_of_any_type(spark, tmp_path):
+    path = warc.write_archive(table(spark, PAGES), f"file://{tmp_path}/archive")
+    headers = spark.read.parquet(f"{path}/headers").select(warc.header_value("WARC-Record-ID").alias("id"), warc.header_value("WARC-Refers-To").alias("to")).collect()
+    ids = {r.id for r in headers}
+    assert len(ids) == len(PAGES) and {r.to for r in headers if r.to} < ids
+    names = spark.createDataFrame([("a b:>~", None, "x"), ("", None, "y"), (None, None, "y"), ("é", None, "x")], "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(names).collect()}
+    assert got == {("a b:>~", "revisit", "é"), ("", "response", None), (None, "revisit", ""), ("é", "response", None)}
 
 
 def test_exported_files_are_records(spark, tmp_path):
