@@ -152,8 +152,9 @@ def train(documents: DataFrame, labels: DataFrame, config: QualityClassifier = Q
 
     def run(batches):
         for batch in batches:
-            found = [statistics(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "y"])
+            for part in slices(batch):
+                found = [statistics(t) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), part.column(1).cast(pa.int32())], ["x", "y"])
 
     found = map_arrow(rows, run, "x array<double>, y int").orderBy(F.xxhash64("x"), "x", "y").limit(config.train_bound).toPandas()
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(NAMES)))

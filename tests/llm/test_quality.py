@@ -56,6 +56,35 @@ def test_llr_by_hand(spark):
     assert got[1] > got[2]
 
 
+def grams_by_hand(words, buckets):
+    """Bucket names of a text's unigrams and bigrams, in plain integers."""
+    mask, out = (1 << 64) - 1, []
+    hashes = [zlib.crc32(w.encode()) for w in words]
+    for h in hashes:
+        out.append(("one", h % buckets))
+    for a, b in zip(hashes, hashes[1:]):
+        x = (a * 0x9E3779B97F4A7C15 & mask) ^ (b * 0xC2B2AE3D27D4EB4F & mask)
+        out.append(("two", (((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> 40) % buckets))
+    return out
+
+
+def test_verdict_equals_multinomials_by_hand(spark, tiny):
+    config, docs, labels = R.QualityRules(buckets=512), table(spark, tiny, "documents"), table(spark, tiny, "labels")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+    grams = {d: grams_by_hand([w for w in rows[d].translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w], 512) for d in rows}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for d in trusted for g in grams[d])
+    total = {(k, name): sum(n for (kind, _), n in c.items() if kind == k) + 512 for k in ("one", "two") for name, c in (("raw", raw), ("target", target))}
+    found = {r.doc_id: r for r in R.apply(docs, labels, config).collect()}
+    assert len(found) == len(rows) and {r.kept for r in found.values()} == {True, False}
+    for d, own in grams.items():
+        logs = [np.log((target[g] + 1) / total[g[0], "target"]) - np.log((raw[g] + 1) / total[g[0], "raw"]) for g in own]
+        score = float(np.mean(logs)) if logs else 0.0
+        assert found[d].llr == pytest.approx(score, abs=1e-9)
+        assert found[d].base_failed == counts_by_hand(rows[d])[5] if len(rows[d]) < 20_000 else True
+        assert found[d].kept == (not found[d].base_failed and score >= config.threshold)
+
+
 def test_every_trusted_row_counts(spark):
     config, n = R.QualityRules(buckets=64), 20_500
     docs = spark.range(n).selectExpr("id AS doc_id", "'alpha' AS text").unionByName(spark.createDataFrame([(None, "alpha")] * 3, "doc_id long, text string"))
@@ -91,6 +120,40 @@ def test_classifier_held_out_accuracy(spark, tiny):
     assert all(0 <= s.score <= 1 and s.predicted == int(s.score >= 0.3) for s in scored.values())
 
 
+def test_statistics_by_hand():
+    text = "The cat sat! sat\nON THE MAT #\nON THE MAT #"
+    got = dict(zip(C.NAMES, C.statistics(text)))
+    n, words = len(text), text.split()
+    assert got["share_upper"] == pytest.approx(sum(c.isupper() for c in text) / n) and got["share_blank"] == pytest.approx(text.count(" ") / n)
+    assert got["share_line"] == pytest.approx(2 / n) and got["share_hash"] == pytest.approx(2 / n) and got["share_shout"] == pytest.approx(1 / n)
+    assert got["log_words"] == pytest.approx(np.log(1 + len(words))) and got["distinct_words"] == len(set(words)) / len(words)
+    assert got["word_bytes"] == n / len(words) and got["top_word"] == 2 / len(words) and got["repeats_previous"] == 0
+    assert got["upper_words"] == sum(w.isupper() for w in words) / len(words) and got["lines_per_word"] == 3 / len(words) and got["distinct_lines"] == 2 / 3
+    assert got["marked_words"] == 3 / len(words)
+    assert all(v == 0 for v in C.statistics(None)) and all(v == 0 for v in C.statistics(""))
+
+
+def test_first_tree_is_the_best_of_all_splits():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, len(C.NAMES)))
+    y = ((x[:, 7] > 0.2) ^ (rng.random(60) < 0.1)).astype(float)
+    config = C.QualityClassifier(trees=1, depth=1, bins=8, min_rows=5)
+    model = C.fit(x, y, config)
+    p = y.mean()
+    best = None
+    for j in range(x.shape[1]):
+        edges = np.quantile(x[:, j], [k / 8 for k in range(1, 8)])
+        for cut, edge in enumerate(edges):
+            left = [i for i in range(60) if x[i, j] <= edge]
+            right = [i for i in range(60) if x[i, j] > edge]
+            if min(len(left), len(right)) < 5:
+                continue
+            gain = sum(sum(p - y[i] for i in side) ** 2 / (len(side) * p * (1 - p) + 1) for side in (left, right))
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, j, cut, [-sum(p - y[i] for i in side) / (len(side) * p * (1 - p) + 1) * config.rate for side in (left, right)])
+    assert (model.feature[0, 0], model.cut[0, 0]) == best[1:3] and model.leaf[0].tolist() == pytest.approx(best[3])
+
+
 def test_flat_trees_equal_recursion():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, len(C.NAMES)))
