@@ -2,9 +2,9 @@
 
 The encodings of a text's parts form a monoid: the empty encoding is its unit
 and ``join`` its product. A text is cut by the pattern, whose matches never
-share a token, so joining them is concatenation. A match of up to ``LEAF``
-bytes is merged directly; a longer one is halved, the halves are encoded
-recursively and joined.
+share a token, so joining them is concatenation. A match is halved down to
+single bytes, the halves are encoded recursively and joined; what is
+remembered of halves and matches only saves doing a join again.
 
 ``join(a, b)`` re-encodes a window of tokens around the seam. Byte-level BPE
 whose tokens all encode to themselves has one encoding for a string, and a
@@ -14,9 +14,13 @@ window's first token (or the pair across its left edge) and its last token (or
 the pair across its right edge) stand; until then the window doubles, at most
 to the whole. The tests hold this against a library's encoder.
 
-Decoding concatenates the tokens' bytes up the same tree. Null texts are empty,
-and an empty text has no tokens. Rows are kept as they come, repeated ones
-included; other columns are ignored.
+Both the ids of a text's matches and, decoding, the bytes of its tokens are
+concatenated up a tree of nodes of ``FAN`` children.
+
+Null texts are empty, and an empty text has no tokens. A very long text, or a
+very long match, is a deeper tree. Rows are kept as they come, repeated ones
+included; an empty table gives an empty result; other columns are ignored. The
+rank file is read by the driver and sent to the executors.
 """
 
 from __future__ import annotations
@@ -33,10 +37,19 @@ from pyspark.sql import DataFrame
 from footgrid.llm.common import slices
 from footgrid.shipping import map_arrow
 
-#: Bytes up to which a match is merged directly.
-LEAF = 48
-#: Matches whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: Matches, halves and token pairs whose ids a worker remembers at most, each; beyond, it starts anew.
+REMEMBERED = 200_000
+#: Children of a node where joining is concatenation.
+FAN = 32
+#: Bytes of a window from which candidates for merging wait in a heap; both ways give the same ids.
+HEAP = 64
+
+
+def product(parts: list[bytes]) -> bytes:
+    """The concatenation of all parts, up a tree."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return parts[0] if parts else b""
 
 
 class Bpe:
@@ -46,7 +59,12 @@ class Bpe:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+
+    def window(self, piece: bytes) -> list[int]:
+        """Encode the few tokens' bytes around a seam."""
+        return self.merge(piece) if len(piece) < HEAP else self.merge_by_heap(piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the neighbours of least rank, leftmost first, until none has a rank."""
@@ -90,43 +108,45 @@ class Bpe:
                 heappush(heap, (r, h))
         return [ranks[p] for p in parts if p is not None]
 
+    def pair(self, a: int, b: int) -> list[int]:
+        """What the two tokens' bytes together encode to."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b])
+        return found
+
     def stands(self, a: int, b: int) -> bool:
         """Whether the two tokens' bytes together encode to just these two tokens."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+        found = self.pair(a, b)
+        return len(found) == 2 and found[0] == a
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the concatenation, from the encodings of its two parts."""
         if not a or not b:
             return a + b
-        if self.stands(a[-1], b[0]):
-            return a + b
-        width = 1
+        middle, width = self.pair(a[-1], b[0]), 1
         while True:
-            left, right = min(width, len(a)), min(width, len(b))
-            window = b"".join(map(self.bytes_of.__getitem__, a[len(a) - left :] + b[:right]))
-            middle = self.merge(window) if len(window) <= LEAF else self.merge_by_heap(window)
-            rest, tail = a[: len(a) - left], b[right:]
+            rest, tail = a[:-width], b[width:]
             if (not rest or self.stands(rest[-1], middle[0])) and (not tail or self.stands(middle[-1], tail[0])):
                 return rest + middle + tail
             width *= 2
+            middle = self.window(b"".join(map(self.bytes_of.__getitem__, a[-width:] + b[:width])))
 
     def tree(self, piece: bytes) -> list[int]:
         """Encode halves recursively and join them."""
-        if len(piece) <= LEAF:
-            return self.merge(piece)
-        middle = len(piece) // 2
-        return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
-
-    def piece(self, match: str) -> bytes:
-        """One match's ids as little-endian unsigned 32-bit integers."""
-        data = match.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        return np.array([whole] if whole is not None else self.tree(data), "<u4").tobytes()
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
+        found = self.halves.get(piece)
+        if found is None:
+            middle = len(piece) // 2
+            found = self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
+            if len(piece) <= 64:  # longer ones hardly come again
+                if len(self.halves) >= REMEMBERED:
+                    self.halves.clear()
+                self.halves[piece] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
@@ -134,44 +154,52 @@ class Bpe:
         for match in self.find(text):
             ids = known.get(match)
             if ids is None:
-                ids = self.piece(match)
-                if len(match) <= LEAF:
+                ids = np.array(self.tree(match.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                if len(match) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[match] = ids
             out.append(ids)
-        return b"".join(out)
-
-    def forget(self) -> None:
-        """Free what is remembered of matches: workers live on after a task, and other operators need their memory."""
-        self.known.clear()
-        self.pairs.clear()
+        return product(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return product(list(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a token in base 64 and its rank a line."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return ranks_of(lines.read())
+
+
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
 
 
-_loaded: dict[tuple[str, str], Bpe] = {}
+_loaded: dict[tuple[bytes, str], Bpe] = {}
 
 
-def loaded(path: str, pattern: str) -> Bpe:
-    """A worker's encoder; workers are reused, so the ranks are read once."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Bpe(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+def loaded(data: bytes, pattern: str) -> Bpe:
+    """A worker's encoder; workers are reused, so the ranks are parsed once."""
+    key = (hashlib.sha256(data).digest(), pattern)
+    if key not in _loaded:
+        _loaded[key] = Bpe(ranks_of(data), pattern)
+    return _loaded[key]
+
+
+def _shared(documents: DataFrame, path: str):
+    """The rank file's bytes (about a megabyte, whatever the input) for the executors."""
+    with open(path, "rb") as file:
+        return documents.sparkSession.sparkContext.broadcast(file.read())
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids binary, text_bytes binary): ids as little-endian unsigned 32-bit integers, bytes as decoded from them."""
 
+    shared = _shared(documents, path)
+
     def run(batches):
-        bpe = loaded(path, pattern)
+        bpe = loaded(shared.value, pattern)
         for batch in batches:
             for part in slices(batch):
                 ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
@@ -179,7 +207,6 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
-        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
@@ -188,8 +215,10 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: ids and decoded bytes stay in the worker."""
 
+    shared = _shared(documents, path)
+
     def run(batches):
-        bpe = loaded(path, pattern)
+        bpe = loaded(shared.value, pattern)
         for batch in batches:
             for part in slices(batch):
                 n, a, b = [], [], []
@@ -202,7 +231,6 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

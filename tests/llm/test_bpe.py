@@ -41,6 +41,29 @@ def test_join_is_the_product(a, b):
     assert OWN.join(OWN.merge_by_heap(data), OWN.merge_by_heap(more)) == OWN.merge_by_heap(data + more)
 
 
+def test_every_match_of_documents_comes_from_joins(tiny):
+    """A match of n bytes is the product of n single bytes: n - 1 joins, each remembered half saving its own."""
+    import pyarrow.parquet as pq
+
+    class Counted(bpe.Bpe):
+        joins = 0
+
+        def join(self, a, b):
+            self.joins += 1
+            return super().join(a, b)
+
+    own, texts = Counted(RANKS, P.PATTERN), pq.read_table(f"{tiny}/documents.parquet").column("text").to_pylist()
+    for text in texts:
+        assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == LIBRARY.encode_ordinary(text or "")
+    longer = {m for t in texts for m in own.find(t or "") if len(m.encode()) > 1}
+    assert own.joins == len(own.halves) >= len(longer) > 1000
+
+
+def test_product():
+    for n in (0, 1, bpe.FAN, bpe.FAN + 1, bpe.FAN**2 + 1):
+        assert bpe.product([b"%d " % i for i in range(n)]) == b"".join(b"%d " % i for i in range(n))
+
+
 def test_every_token_encodes_to_itself():
     assert all(OWN.merge(k) == [v] for k, v in RANKS.items())
 
