@@ -17,14 +17,18 @@ A bitmap of the benchmark's fingerprints, if they are few, drops most of a
 document's before they leave its row; the join sees what is left.
 
 Fingerprints and windows of the benchmark are broadcast only if counting them
-first showed at most ``broadcast_rows``; else they are joined by shuffle.
-Nothing is grouped by passage: a passage in a third of all documents is a
-broadcast row or a join's key that AQE can split.
+first showed at most ``broadcast_rows`` and ``broadcast_bytes``; else they are
+joined by shuffle. Nothing is grouped by passage: a passage in a third of all
+documents is a broadcast row or a join's key that AQE can split. Hits carry a
+window's number; the items that hold it are joined to the distinct windows of a
+document, so a passage of many items is no long cell of every hit.
 
 Null and empty texts have no words and no hits. Rows that repeat a doc_id are
 documents of their own; repeated whole rows each get the same result. Items
 with null text have no window; a null item_id is not listed. An empty benchmark
-leaves all clean. Other columns are ignored.
+leaves all clean, an empty table of documents gives an empty result. Very long
+texts are one row each, of which only fingerprints found in the benchmark leave
+the row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.llm.common import UPPER, LOWER
+from footgrid.llm.common import LOWER, UPPER, stored
 
 #: Bits of a word's place in packed fingerprints: a string of under 2**31 bytes has fewer than 2**30 words.
 PLACE_BITS = 30
@@ -45,6 +49,7 @@ class Decontaminate:
     span: int = 10
     k: int = 5
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64 << 20
     #: Fingerprints of the benchmark up to which a bitmap of them screens documents' fingerprints within their row.
     bitmap_prints: int = 20_000
     #: Short items' windows up to which documents' windows are looked up in a literal set before they leave their row.
@@ -105,14 +110,14 @@ def bitmap_of(prints: list[int], bits_a_print: int = 32) -> tuple[list[int], int
 
 
 def item_windows(benchmark: DataFrame, config: Decontaminate) -> DataFrame:
-    """(window, m, items) of every distinct window; items: the ids it occurs in."""
+    """(window, m, item_id) of every distinct window and item that it occurs in."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     m = F.least(F.size("words"), F.lit(config.span))
     starts = F.explode(F.sequence(F.lit(0), F.size("words") - m))
     return (
         words.select("item_id", "words", m.alias("m"), starts.alias("start"))
         .select("item_id", _joined(F.col("words"), F.col("start"), F.col("m")).alias("window"), "m")
-        .groupBy("window", "m").agg(F.collect_set("item_id").alias("items"))
+        .distinct()
     )
 
 
@@ -127,13 +132,13 @@ def hits(documents: DataFrame, benchmark: DataFrame, config: Decontaminate = Dec
     """One row a document, with ``place`` null, and one for each occurrence of a window in it.
 
     Columns: doc_id, text_hash (to tell rows of one doc_id apart), n_words,
-    place (of the window's first word), m (its words), items (ids).
+    place (of the window's first word), m (its words), window.
     """
-    windows, prints = item_windows(benchmark, config), item_fingerprints(benchmark, config)
-    sizes = windows.groupBy("m").count().collect()  # at most ``span`` rows
+    windows, prints = item_windows(benchmark, config).select("window", "m").distinct(), item_fingerprints(benchmark, config)
+    sizes = windows.groupBy("m").agg(F.count("*").alias("count"), F.sum(F.octet_length("window")).alias("bytes")).collect()  # at most ``span`` rows
     n_windows, short = sum(r["count"] for r in sizes), sorted(r["m"] for r in sizes if r["m"] < config.span)
     n_short = sum(r["count"] for r in sizes if r["m"] < config.span)
-    small = n_windows <= config.broadcast_rows
+    small = n_windows <= config.broadcast_rows and sum(r["bytes"] for r in sizes) <= config.broadcast_bytes
     prints, windows = (F.broadcast(prints), F.broadcast(windows)) if small else (prints, windows)
     screen = None
     if small:
@@ -177,13 +182,13 @@ def hits(documents: DataFrame, benchmark: DataFrame, config: Decontaminate = Dec
     if short:
         tried = tried.unionByName(_short_candidates(words, windows, short, n_short, config))
     at = [F.col("doc_id"), F.col("text_hash"), F.col("n_words")]
-    documents_rows = tried.where("place < 0").select(*at, F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("m"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"))
+    documents_rows = tried.where("place < 0").select(*at, F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("string").alias("window"))
     if small:
         return (
             tried.join(windows, "window", "left").where("place < 0 OR m IS NOT NULL")
-            .select(*at, F.when(F.col("place") >= 0, F.col("place")).alias("place"), "m", "items")
+            .select(*at, F.when(F.col("place") >= 0, F.col("place")).alias("place"), "m", "window")
         )
-    return documents_rows.unionByName(tried.where("place >= 0").join(windows, "window").select(*at, "place", "m", "items"))
+    return documents_rows.unionByName(tried.where("place >= 0").join(windows, "window").select(*at, "place", "m", "window"))
 
 
 def _short_candidates(words: DataFrame, windows: DataFrame, lengths: list[int], n_short: int, config: Decontaminate) -> DataFrame:
@@ -222,14 +227,16 @@ def apply(documents: DataFrame, benchmark: DataFrame, config: Decontaminate = De
     spans: sorted (place, end) word ranges of the windows found, of which n_hit counts the words.
     """
     span = F.when(F.col("place").isNotNull(), F.struct("place", (F.col("place") + F.col("m")).alias("end")))
-    ids = F.transform(F.array_distinct(F.flatten("groups")), lambda x: x.cast("string"))
+    at = ["doc_id", "text_hash", "n_words"]
+    found = stored(hits(documents, benchmark, config), "decontaminate")  # a row a document and the hits: read twice
+    items = item_windows(benchmark, config).select("window", F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
+    held = found.where("place IS NOT NULL").select(*at, "window").distinct().join(items, "window").select(*at, "item").distinct()
+    rows = found.select(*at, span.alias("span"), F.when(F.col("place").isNull(), 1).alias("own"), F.lit(None).cast("string").alias("item"))
+    rows = rows.unionByName(held.select(*at, F.lit(None).cast("struct<place:int,end:int>").alias("span"), F.lit(None).cast("int").alias("own"), "item"))
     return (
-        hits(documents, benchmark, config)
-        .groupBy("doc_id", "text_hash", "n_words")
-        .agg(
-            F.count(F.when(F.col("place").isNull(), 1)).alias("copies"), F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("groups"),
-        )
-        .withColumns({"n_hit": covered(F.col("spans")), "ids": F.array_sort(ids)})
+        rows.groupBy(*at)
+        .agg(F.count("own").alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("ids"))
+        .withColumn("n_hit", covered(F.col("spans")))
         .select(
             "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"), "spans", "text_hash", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
