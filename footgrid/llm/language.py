@@ -124,27 +124,28 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     order = np.argsort(-lengths, kind="stable")
     at, left = offsets[order], lengths[order]
-    label = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(scores.shape[1])  # holds every label, however many languages there are
+    label = np.zeros(len(scores), kind)
     steps = int(left[0]) if len(left) else 0
     if not steps:
         return label
     active = len(left) - np.searchsorted(left[::-1], np.arange(steps), "right")  # texts with a word at each step
-    back = np.zeros((len(scores), scores.shape[1]), np.int8)
+    back = np.zeros((len(scores), scores.shape[1]), kind)
     value = scores[at[: active[0]]].astype(np.float64)
     last = np.zeros((len(left), scores.shape[1]))
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t in range(1, steps):
         n = active[t]
         if n < len(value):
             last[n : len(value)] = value[n:]
             value = value[:n]
-        best = value.argmax(axis=1).astype(np.int8)
+        best = value.argmax(axis=1).astype(kind)
         jump = value.max(axis=1)[:, None] - switch
         stay = value >= jump
         back[at[:n] + t] = np.where(stay, own, best[:, None])
         value = np.where(stay, value, jump) + scores[at[:n] + t]
     last[: len(value)] = value
-    now = last.argmax(axis=1).astype(np.int8)
+    now = last.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         where = at[:n] + t
@@ -163,15 +164,16 @@ def train(documents: DataFrame, config: Language = Language()) -> Model:
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = counts.setdefault(lang, np.zeros(config.buckets + len(NAMES), np.int64))
-                if words := _words(text or ""):
-                    found += np.concatenate([np.bincount(grams(words, config.buckets)[0], minlength=config.buckets), np.bincount(scripts_of(words), minlength=len(NAMES))])
+            for part in slices(batch):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = counts.setdefault(lang, np.zeros(config.buckets + len(NAMES), np.int64))
+                    if words := _words(text or ""):
+                        found += np.concatenate([np.bincount(grams(words, config.buckets)[0], minlength=config.buckets), np.bincount(scripts_of(words), minlength=len(NAMES))])
         for lang, found in counts.items():
             used = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(found[used])], ["lang", "bucket", "n"])
 
-    # Languages times (buckets + scripts) rows at most.
+    # Languages times (buckets + scripts) rows at most: as many numbers as the model itself has.
     found = map_arrow(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((config.buckets + len(NAMES), len(languages)))
