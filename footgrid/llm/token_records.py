@@ -18,12 +18,13 @@ file systems, first under a name of the attempt's own and then renamed, so a
 task that runs again replaces equal bytes with equal bytes.
 
 Null texts are empty and get only the end id. Rows that repeat a doc_id are
-documents of their own, in the order of their texts; a null doc_id sorts first.
+documents of their own, in the order of their texts' hashes; a null doc_id sorts first.
 An empty table writes no shard and gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -83,11 +84,11 @@ class ChunkEncoder:
 
     PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(data)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.find = re.compile(self.pattern().replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")).findall
         self.known: dict[str, bytes] = _Known(self.tokenizer, self.dtype)
@@ -135,13 +136,15 @@ class _Known(dict):
         return found
 
 
-_loaded: dict[str, ChunkEncoder] = {}
+_loaded: dict[bytes, ChunkEncoder] = {}
 
 
-def loaded(path: str) -> ChunkEncoder:
-    if path not in _loaded:
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+def loaded(data: bytes) -> ChunkEncoder:
+    """A worker's encoder; workers are reused, so a tokenizer is built once."""
+    key = hashlib.sha256(data).digest()
+    if key not in _loaded:
+        _loaded[key] = ChunkEncoder(data)
+    return _loaded[key]
 
 
 @dataclass(frozen=True)
@@ -161,7 +164,10 @@ def _open(folder: str):
 def write(documents: DataFrame, folder: str, config: TokenRecords) -> DataFrame:
     """Write shards, indexes and manifest below ``folder``; returns the table of shards (shard, rows, ids)."""
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text")
+    # Rows equal in id and text differ by their number, so no group of them must lie in one shard.
+    rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    with open(config.tokenizer, "rb") as file:
+        tokenizer = spark.sparkContext.broadcast(file.read())  # a few megabytes, whatever the input
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, spark.sparkContext.defaultParallelism, -(-chars // config.shard_chars))
     store, root = _open(folder)
@@ -171,7 +177,7 @@ def write(documents: DataFrame, folder: str, config: TokenRecords) -> DataFrame:
         from pyspark import TaskContext
 
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder = loaded(config.tokenizer)
+        encoder = loaded(tokenizer.value)
         width = np.dtype(encoder.dtype).itemsize
         store, root = _open(folder)
         name = f"{root}/shards/part-{shard:06d}"
@@ -196,44 +202,72 @@ def write(documents: DataFrame, folder: str, config: TokenRecords) -> DataFrame:
             store.move(f"{name}.idx.{attempt}.tmp", f"{name}.idx")
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     map_arrow(ordered, run, f"doc_id {kind}, shard int, record long, before long, width int").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(shard, record, ids_in_record, ids_crc32) of every record, read from the files in whole and checked.
+def shards_of(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """(shard, width, start) of each shard; start: the ids of all shards before it, summed from the ends of their indexes."""
+    shards = manifest.groupBy("shard").agg(F.first("width").alias("width"), F.count("*").alias("rows"))
 
-    A task reads one shard; it seeks to each record by the index, as a shuffled
-    reader would, and checks both checksums.
+    def run(batches):
+        store, root = _open(folder)
+        for batch in batches:
+            found = []
+            for shard, width, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                with store.open_input_file(f"{root}/shards/part-{shard:06d}.idx") as file:
+                    if file.size() != 24 * rows:
+                        raise ValueError(f"index of shard {shard} has another length than its manifest")
+                    file.seek(24 * (rows - 1))
+                    _, length, before = struct.unpack("<QQQ", file.read(24))
+                found.append(before + length // width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["shard", "width", "ids"])
+
+    # Running sums in blocks of shards, then over the blocks: no task orders more than a thousandth of the shards, or the blocks.
+    sums = stored(map_arrow(shards, run, "shard int, width int, ids long").withColumn("block", F.floor(F.col("shard") / 1024)), "token-records-shards")
+    blocks = sums.groupBy("block").agg(F.sum("ids").alias("all_ids"))
+    blocks = blocks.select("block", (F.sum("all_ids").over(Window.orderBy("block")) - F.col("all_ids")).alias("earlier"))
+    inside = F.sum("ids").over(Window.partitionBy("block").orderBy("shard")) - F.col("ids")
+    return sums.withColumn("inside", inside).join(blocks, "block").select("shard", "width", (F.col("earlier") + F.col("inside")).alias("start"))
+
+
+def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+    """(shard, record, start, n_tokens, ids_crc32) of every record, read from the files in whole and checked.
+
+    A task reads one shard after the other; it seeks to each record by the
+    index, as a shuffled reader would, and checks both checksums. start: the ids
+    of all records before it, in earlier shards too.
     """
-    shards = manifest.groupBy("shard").agg(F.first("width").alias("width"))
 
     def run(batches):
         store, root = _open(folder)
         for batch in batches:
-            for shard, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for shard, width, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 name = f"{root}/shards/part-{shard:06d}"
                 with store.open_input_stream(f"{name}.idx") as file:
                     index = np.frombuffer(file.read(), "<u8").reshape(-1, 3)
                 with store.open_input_file(f"{name}.rec") as file:
-                    for start in range(0, len(index), 4096):
-                        n, crc = [], []
-                        for offset, length, _ in index[start : start + 4096].tolist():
+                    for at in range(0, len(index), 4096):
+                        begin, n, crc = [], [], []
+                        for offset, length, before in index[at : at + 4096].tolist():
                             if file.tell() != offset:
                                 file.seek(offset)
                             payload = read_frame(file)
                             if payload is None or len(payload) != length:
                                 raise ValueError(f"index and records of shard {shard} differ")
                             ids = np.frombuffer(payload, f"<u{width}")
+                            begin.append(first + before)
                             n.append(len(ids))
                             crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([shard] * len(n), pa.int32()), pa.array(range(start, start + len(n)), pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
-                            ["shard", "record", "n_tokens", "ids_crc32"],
+                            [pa.array([shard] * len(n), pa.int32()), pa.array(range(at, at + len(n)), pa.int64()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                            ["shard", "record", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return map_arrow(shards, run, "shard int, record long, n_tokens long, ids_crc32 long")
+    # About one shard a task, each of a bounded number of characters; a number given is kept, however small the rows are.
+    return map_arrow(shards.repartition(max(1, shards.count()), "shard"), run, "shard int, record long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, config: TokenRecords) -> DataFrame:
@@ -241,12 +275,6 @@ def round_trip(documents: DataFrame, config: TokenRecords) -> DataFrame:
     spark = documents.sparkSession
     folder = new_folder(spark, "token-records")
     manifest = write(documents, folder, config)
-    found = stored(read(spark, folder, manifest), "token-records-read")
-    # One row a shard: the ids of all shards before it.
-    sums = found.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    base = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
-    return (
-        manifest.join(found, ["shard", "record"])
-        .join(F.broadcast(base), "shard")  # as many rows as files
-        .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    found = read(spark, folder, shards_of(spark, folder, manifest))
+    # Spark would guess the records' size from that of the shards' table and broadcast them.
+    return manifest.join(found.hint("merge"), ["shard", "record"]).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -13,7 +13,7 @@ from tests.llm.helpers import awkward, empty
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-OWN = T.ChunkEncoder(PATH)
+OWN = T.ChunkEncoder(open(PATH, "rb").read())
 parts = st.lists(st.sampled_from(["a", "B", "é", "É", "\u0301", " ", "\n", "\u00a0", "Σ", "ς", "'s", "'LL", "<|endoftext|>", "1", "½", "İ", "ß", "!", "日", "don't", "\x1c", "\x85", "µ", "_", "the ", "#."]), max_size=40).map("".join)
 
 
@@ -39,6 +39,13 @@ def test_frames_and_damage():
         T.read_frame(io.BytesIO(data[16:30]))
 
 
+def test_equal_rows_are_split_over_shards(spark):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'the same words in every row' AS text").repartition(8)
+    found = T.round_trip(docs, T.TokenRecords(PATH, shard_chars=10_000)).orderBy("start").collect()
+    n = found[0].n_tokens
+    assert [r.start for r in found] == [n * i for i in range(4000)]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = [tuple(r) for r in T.round_trip(docs, T.TokenRecords(PATH)).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()]
