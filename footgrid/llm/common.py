@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.storage import Scratch, new_folder, stored
+from footgrid.storage import new_folder, stored
 
 #: The white space of the word contracts: \x20 and \x09-\x0D, which is what ``bytes.split()`` splits on.
 SPACES = " \t\n\x0b\x0c\r"
-__all__ = ["LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
+__all__ = ["Kept", "LOWER", "SPACES", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Kept:
+    """Intermediate tables used more than once, kept on the executors' disks until ``clear``.
+
+    Their lineage stays, so what a lost executor held is computed again; what
+    takes long or goes round a loop is ``stored`` instead, which costs files.
+    """
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def clear(self) -> None:
+        for table in self.tables:
+            table.unpersist()
+        self.tables.clear()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

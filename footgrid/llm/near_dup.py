@@ -12,24 +12,26 @@ is confirmed on the full sets of shingles, words compared as words.
 2. Each key has a centre: the representative whose keys hold most rows in all,
    so one in the middle of its group. Each representative is compared with the
    one centre that it shares most tables with.
-3. The links found give components. In keys that still hold several components,
-   all rows outside the key's largest component are compared with the rows of
-   the other components, so no pair that shares a key stays unconfirmed unless
-   the two are in one component already. Pairs whose set sizes exclude the
-   similarity are left out, which loses nothing, and so are pairs whose sketches
-   (four bits of each of ``SKETCH`` minhashes) agree in fewer places than 3.5
-   standard deviations below what the similarity gives, which loses a pair of
-   just that similarity with probability 0.0002. Of two rows compared with one
-   centre it is known how many of its shingles each lacks, how many each has
-   besides, and bitmaps of both; common bits bound from above what the two lack
-   in common and have in common besides, so their intersection is bounded too.
-   Where this excludes the similarity (it does for nearly all heavily edited
-   copies of one text) the pair is left out, which loses nothing. All of this is
-   the join's condition, so such rows never become pairs.
-4. Components of all links, by alternating large-star and small-star steps.
-
-A key held by a large group costs a row a member in 2, and in 3 only the few
-rows that are no part of the group are paired with it. Joins are plain
+3. The links found give components. A key that still holds several, with more
+   than ``crowd`` rows outside the largest, has a pivot: the centre that most of
+   its rows were compared with. Its rows are compared with the pivot too, one
+   comparison a row and pivot, and those links join components as well.
+4. In keys that still hold several components, rows outside the key's largest
+   component are held against the rows of the other components, so no pair that
+   shares a key stays unconfirmed unless the two are in one component already.
+   Left out are pairs that cannot be similar: by their sets' sizes, or by what
+   is known of both against the key's pivot (how many of its shingles each
+   lacks, how many each has besides, and bitmaps of both: common bits bound from
+   above what the two lack in common and have in common besides, so their
+   intersection is bounded too), which loses nothing; or by their sketches (a
+   byte of each minhash) agreeing in fewer places than 5.5 standard deviations
+   below what the similarity gives, which loses a pair of just that similarity
+   with probability 0.00000002. All of this is the join's condition, so heavily
+   edited copies of one text never become pairs.
+5. Components of all links, by alternating large-star and small-star steps.
+
+A key held by a large group costs a row a member in 2 and 3, and in 4 only the
+few rows that are no part of the group are held against it. Joins are plain
 equi-joins, which AQE splits where a key is hot. With the default numbers a
 pair of similarity 0.8 shares a key with probability 0.997, of 0.85 with 0.9996.
 
@@ -51,14 +53,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.llm.common import Scratch, slices, stored
+from footgrid.llm.common import Kept, slices, stored
 from footgrid.shipping import map_arrow
 
 #: Shingles hashed at once.
 CHUNK = 400_000
-#: Minhashes of a sketch, sixteen a long; the bands' are the first of them.
-SKETCH = 112
-SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH // 16)]
+#: Hashes a 64-bit word of a sketch holds, a byte each.
+LANES = 8
 #: Bits of a bitmap of what a row lacks of, or has besides, a centre's set.
 BITS = 512
 BIT_COLUMNS = [f"b{i}" for i in range(2 * BITS // 64)]
@@ -70,8 +71,15 @@ class NearDup:
     percent: int = 80
     tables: int = 9
     rows: int = 3
+    #: Rows outside its largest component from which a key gets a pivot; decides what is compared first, not what is found.
+    crowd: int = 16
     seed: int = 20240229
 
+    @property
+    def sketch(self) -> list[str]:
+        """The columns of a sketch."""
+        return [f"s{i}" for i in range(-(-2 * self.tables * self.rows // LANES))]
+
 
 def words_of(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words between ASCII white space."""
@@ -107,12 +115,11 @@ def hashed_set(words: list[bytes], k: int, known: _WordHashes) -> np.ndarray:
 
 
 def bands(sets: list[np.ndarray], config: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Both collections' band values of each set (sets x 2 * tables) and the sketches (sets x SKETCH / 16)."""
+    """Both collections' band values of each set (sets x 2 * tables) and the sketches (sets x words)."""
     rng = np.random.Generator(np.random.PCG64(config.seed))
-    used = 2 * config.tables * config.rows
-    n = max(used, SKETCH)
+    n = 2 * config.tables * config.rows
     xor, mul = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n, np.uint64) | np.uint64(1)
-    out, sketch = np.zeros((len(sets), 2 * config.tables), np.uint64), np.zeros((len(sets), SKETCH // 16), np.uint64)
+    out, sketch = np.zeros((len(sets), 2 * config.tables), np.uint64), np.zeros((len(sets), len(config.sketch)), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     start = 0
     while start < len(full):
@@ -125,10 +132,11 @@ def bands(sets: list[np.ndarray], config: NearDup) -> tuple[np.ndarray, np.ndarr
         least = np.stack([np.minimum.reduceat(((data ^ xor[f]) * mul[f]) >> np.uint64(24), edges) for f in range(n)], axis=1)
         value = np.zeros((len(part), 2 * config.tables), np.uint64)
         for r in range(config.rows):
-            value = (value ^ (value >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r : used : config.rows]
+            value = (value ^ (value >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r :: config.rows]
         out[full[start:end]] = value
-        few = (least[:, :SKETCH] & np.uint64(15)).reshape(len(part), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-        sketch[full[start:end]] = np.bitwise_or.reduce(few, axis=2)
+        few = np.zeros((len(part), sketch.shape[1] * LANES), np.uint8)
+        few[:, :n] = least & np.uint64(255)
+        sketch[full[start:end]] = few.view(np.uint64)
         start = end
     return out, sketch
 
@@ -177,7 +185,7 @@ def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFra
     """(a, b, linked, centre_n, lacks, besides, bits) of every pair: whether their texts' sets are similar enough.
 
     Seen from b: the size of its set, how many of it a lacks, how many a has
-    besides, and both bitmaps; null for pairs of similarity under a half.
+    besides, and both bitmaps.
     """
     texts = documents.select("doc_id", "text")
     both = (
@@ -196,13 +204,10 @@ def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFra
                     if text_b != last:
                         last, centre = text_b, shingles(words_of(text_b), config.shingle)
                     own = shingles(words_of(text_a), config.shingle)
-                    common = len(own & centre)
-                    union = len(own) + len(centre) - common
-                    linked = common > 0 and 100 * common >= config.percent * union
-                    if common > 0 and 2 * common >= union:
-                        found.append((linked, len(centre), len(centre) - common, len(own) - common, _bits(centre - own) + _bits(own - centre)))
-                    else:
-                        found.append((linked, None, None, None, None))
+                    lacks, besides = centre - own, own - centre
+                    common = len(centre) - len(lacks)
+                    linked = common > 0 and 100 * common >= config.percent * (len(own) + len(lacks))
+                    found.append((linked, len(centre), len(lacks), len(besides), _bits(lacks) + _bits(besides)))
                 kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 columns = [pa.array(x, k) for x, k in zip(zip(*found), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["a", "b", "linked", "centre_n", "lacks", "besides", "bits"])
@@ -212,22 +217,22 @@ def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of undirected links (a, b); root: the component's least node."""
-    scratch = Scratch(links.sparkSession, "links")
-    edges = scratch.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     while True:
         # Done when every edge runs from a node of that one edge to a node that starts none.
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("starts")), F.struct(F.col("v").alias("node"), F.lit(0).alias("starts")))).alias("e"))
         roles = ends.groupBy("e.node").agg(F.sum("e.starts").alias("starts"), F.count("*").alias("n"))
         if roles.where("starts > 1 OR (starts = 1 AND n > 1)").isEmpty():
-            found = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
-            scratch.clear()
-            return found
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        kept = Kept()
         every = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are kept: each join then has two plain exchanges, so a hub's rows can be split.
+        least = kept.keep(every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = kept.keep(every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = kept.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = scratch.stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "components")  # each round cuts the lineage
+        kept.clear()
 
 
 def _possible(a: str, b: str, config: NearDup):
@@ -237,81 +242,123 @@ def _possible(a: str, b: str, config: NearDup):
 
 def _alike(config: NearDup):
     """Whether the sketches x_s* and y_s* agree in enough places."""
-    p = config.percent / 100 + (1 - config.percent / 100) / 16
-    least = int(SKETCH * p - 3.5 * (SKETCH * p * (1 - p)) ** 0.5)
+    n = 2 * config.tables * config.rows
+    p = config.percent / 100 + (1 - config.percent / 100) / 256
+    most_apart = n - int(n * p - 5.5 * (n * p * (1 - p)) ** 0.5)
     apart = None
-    for c in SKETCH_COLUMNS:
+    for c in config.sketch:
         d = F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111).cast("long"))
-        apart = F.bit_count(d) if apart is None else apart + F.bit_count(d)
-    return apart <= SKETCH - least
+        for bits in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, bits))
+        d = F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101).cast("long")))
+        apart = d if apart is None else apart + d
+    return apart <= most_apart
+
 
+def known(comparisons: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, pivot, centre_n, lacks, besides, hidden_l, hidden_b, bitmaps) of each row compared with a centre, and of centres themselves.
 
-def pivots(first: DataFrame) -> DataFrame:
-    """(rep, pivot, centre_n, lacks, besides, bitmaps) of the rows that are known against a centre."""
-    known = first.where("bits IS NOT NULL").withColumnsRenamed({"a": "rep", "b": "pivot"})
+    hidden: shingles that share a bit with another one of the same bitmap.
+    """
+    rows = comparisons.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "centre_n", "lacks", "besides", "bits")
+    none = F.array_repeat(F.lit(0).cast("long"), len(BIT_COLUMNS))
+    zero = F.lit(0).cast("long")
+    own = classes.join(rows.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi").select(
+        "rep", F.col("rep").alias("pivot"), F.col("n_shingles").alias("centre_n"), zero.alias("lacks"), zero.alias("besides"), none.alias("bits"))
     # Rows that repeat a doc_id can give one representative several comparisons: no bound holds for those.
-    once = known.groupBy("rep").agg(F.count("*").alias("k"), F.first(F.struct("pivot", "centre_n", "lacks", "besides", "bits")).alias("p")).where("k = 1")
-    return once.select("rep", "p.pivot", "p.centre_n", "p.lacks", "p.besides", *[F.col("p.bits")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)])
+    once = (
+        rows.unionByName(own).groupBy("rep", "pivot").agg(F.count("*").alias("k"), F.first(F.struct("centre_n", "lacks", "besides", "bits")).alias("p"))
+        .where("k = 1").select("rep", "pivot", "p.*")
+    )
+    half = len(BIT_COLUMNS) // 2
 
+    def ones(first: int):
+        parts = [F.bit_count(F.col("bits")[first + i]) for i in range(half)]
+        return sum(parts[1:], parts[0])
 
-def _common(count: str, columns: list[str]):
-    """At most so many of x's and y's shingles are common: the bits in common, and those that the fewer collisions hide."""
+    return once.select(
+        "rep", "pivot", "centre_n", "lacks", "besides", (F.col("lacks") - ones(0)).alias("hidden_l"), (F.col("besides") - ones(half)).alias("hidden_b"),
+        *[F.col("bits")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)],
+    )
 
-    def ones(f):
-        parts = [F.bit_count(f(c)) for c in columns]
-        return sum(parts[1:], parts[0])
 
-    hidden = F.least(*[F.col(f"{t}_{count}") - ones(lambda c, t=t: F.col(f"{t}_{c}")) for t in "xy"])
-    return ones(lambda c: F.col(f"x_{c}").bitwiseAND(F.col(f"y_{c}"))) + hidden
+KNOWN = ("centre_n", "lacks", "besides", "hidden_l", "hidden_b", *BIT_COLUMNS)
 
 
 def _excluded(config: NearDup):
-    """Whether x and y are known against the same centre and what that tells excludes the similarity."""
+    """Whether what is known of x and y against one pivot excludes the similarity; the least cost comes first."""
+
+    def common(columns, hidden):
+        parts = [F.bit_count(F.col(f"x_{c}").bitwiseAND(F.col(f"y_{c}"))) for c in columns]
+        return sum(parts[1:], parts[0]) + F.least(f"x_{hidden}", f"y_{hidden}")
+
     half = len(BIT_COLUMNS) // 2
-    most = F.col("x_centre_n") - F.col("x_lacks") - F.col("y_lacks") + _common("lacks", BIT_COLUMNS[:half]) + _common("besides", BIT_COLUMNS[half:])
-    return F.coalesce((F.col("x_pivot") == F.col("y_pivot")) & (100 * most < config.percent * (F.col("x_n") + F.col("y_n") - most)), F.lit(False))
+
+    def apart(most):
+        return 100 * most < config.percent * (F.col("x_n") + F.col("y_n") - most)
+
+    # x and y hold at most what the one that lacks more has left of the pivot, and what the one that has less besides has.
+    coarse = F.col("x_centre_n") - F.greatest("x_lacks", "y_lacks") + F.least("x_besides", "y_besides")
+    fine = F.col("x_centre_n") - F.col("x_lacks") - F.col("y_lacks") + common(BIT_COLUMNS[:half], "hidden_l") + common(BIT_COLUMNS[half:], "hidden_b")
+    return F.coalesce(apart(coarse) | apart(fine), F.lit(False))
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, n, root, main, outside) of rows (key, rep, n) in keys that hold several components; main: the key's largest; outside: rows outside it."""
+    roots = components(found)
+    labelled = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("size"))
+    keys = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("outside")).where("parts > 1")
+    return labelled.join(keys.select("key", "main", "outside"), "key")
 
 
 def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component."""
-    scratch = Scratch(classes.sparkSession, "near-dup")
+    kept = Kept()
     keys = table_keys(classes, config)
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
-    # Rows of keys that several classes share; written once, used in both rounds.
-    held = scratch.stored(keys.join(shared.select("key", "size"), "key"))
+    # Rows of keys that several classes share, used in all rounds.
+    held = kept.keep(keys.join(shared.select("key", "size"), "key"))
     weights = held.groupBy("rep").agg(F.sum("size").alias("weight"))
     centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "n")).alias("c")).select("key", (-F.col("c.least")).alias("centre"), F.col("c.n").alias("centre_n"))
     star = held.join(centres, "key").where("rep <> centre").where(_possible("n", "centre_n", config)).groupBy("rep", "centre").agg(F.count("*").alias("tables"))
     best = star.groupBy("rep").agg(F.max_by("centre", F.struct("tables", -F.col("centre"))).alias("centre"))
-    asked = scratch.stored(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-    first = scratch.stored(compared(asked, documents, config))
-    found = first.where("linked").select("a", "b").distinct()
-
-    roots = components(found)
-    labelled = held.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("size"))
-    open_keys = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    sketches = classes.select("rep", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH_COLUMNS)])
-    rest = scratch.stored(labelled.join(open_keys, "key").join(sketches, "rep").join(pivots(first), "rep", "left"))
+    asked = kept.keep(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    first = kept.keep(compared(asked, documents, config))
+
+    rest = kept.keep(_open(held.select("key", "rep", "n"), first.where("linked")))
+    of = asked.select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
+    crowded = rest.where(F.col("outside") > config.crowd)
+    votes = crowded.join(of.unionByName(of.select(F.col("pivot").alias("rep"), "pivot").distinct()), "rep").groupBy("key", "pivot").agg(F.count("*").alias("votes"))
+    chosen = kept.keep(votes.groupBy("key").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")))
+    more = crowded.join(chosen, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
+    second = kept.keep(compared(more, documents, config))
+    every = first.unionByName(second)
+
+    facts = known(every, classes)
+    last = _open(rest.select("key", "rep", "n"), every.where("linked")).join(chosen, "key", "left")
+    sketches = classes.select("rep", *[F.col("sketch")[i].alias(c) for i, c in enumerate(config.sketch)])
+    last = kept.keep(last.join(facts, ["rep", "pivot"], "left").join(sketches, "rep"))
 
     def side(t):
-        return [F.col("rep").alias(t), *[F.col(c).alias(f"{t}_{c}") for c in ("n", "root", "pivot", "centre_n", "lacks", "besides", *BIT_COLUMNS, *SKETCH_COLUMNS)]]
+        return [F.col("rep").alias(t), *[F.col(c).alias(f"{t}_{c}") for c in ("n", "root", *KNOWN, *config.sketch)]]
 
-    own, other = rest.where("root <> main").select("key", *side("x")), rest.select("key", *side("y"), "main")
     pairs = (
-        own.join(other, "key")
+        last.where("root <> main").select("key", *side("x")).join(last.select("key", *side("y"), "main"), "key")
         .where("x_root <> y_root AND (y_root = main OR x < y)")
-        .where(_possible("x_n", "y_n", config) & ~_excluded(config) & _alike(config))
+        .where(_possible("x_n", "y_n", config) & _alike(config) & ~_excluded(config))
         .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         .distinct()
-        .join(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(_unordered(every), ["a", "b"], "left_anti")
     )
-    second = compared(scratch.stored(pairs), documents, config).where("linked").select("a", "b")
-    every = stored(found.unionByName(second), "near-dup-links")
-    scratch.clear()
-    return every
+    third = compared(pairs, documents, config)
+    linked = stored(every.unionByName(third).where("linked").select("a", "b").distinct(), "near-dup-links")
+    kept.clear()
+    return linked
 
 
 def apply(documents: DataFrame, config: NearDup = NearDup()) -> DataFrame:
