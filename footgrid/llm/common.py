@@ -4,36 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footgrid.storage import new_folder, stored
+from footgrid.storage import delete_folder, new_folder, stored
 
 #: The white space of the word contracts: \x20 and \x09-\x0D, which is what ``bytes.split()`` splits on.
 SPACES = " \t\n\x0b\x0c\r"
-__all__ = ["Kept", "LOWER", "SPACES", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
+__all__ = ["LOWER", "SPACES", "Scratch", "UPPER", "ascii_lower", "bounded_ids", "crc_of_id", "new_folder", "slices", "stored"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class Kept:
-    """Intermediate tables used more than once, kept on the executors' disks until ``clear``.
+class Scratch:
+    """Tables of one operator in the shared folder that its result doesn't need; ``clear`` deletes them once that is written."""
 
-    Their lineage stays, so what a lost executor held is computed again; what
-    takes long or goes round a loop is ``stored`` instead, which costs files.
-    """
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.count = spark, new_folder(spark, what), 0
 
-    def __init__(self):
-        self.tables: list[DataFrame] = []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        for table in self.tables:
-            table.unpersist()
-        self.tables.clear()
+        delete_folder(self.spark, self.folder)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footgrid.llm.common import Kept, slices, stored
+from footgrid.llm.common import Scratch, slices, stored
 from footgrid.shipping import map_arrow
 
 #: Shingles hashed at once.
@@ -217,22 +217,22 @@ def compared(pairs: DataFrame, documents: DataFrame, config: NearDup) -> DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of undirected links (a, b); root: the component's least node."""
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    scratch = Scratch(links.sparkSession, "links")
+    edges = scratch.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # Done when every edge runs from a node of that one edge to a node that starts none.
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("starts")), F.struct(F.col("v").alias("node"), F.lit(0).alias("starts")))).alias("e"))
         roles = ends.groupBy("e.node").agg(F.sum("e.starts").alias("starts"), F.count("*").alias("n"))
         if roles.where("starts > 1 OR (starts = 1 AND n > 1)").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        kept = Kept()
+            found = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+            scratch.clear()
+            return found
         every = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are kept: each join then has two plain exchanges, so a hub's rows can be split.
-        least = kept.keep(every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = kept.keep(every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = kept.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = every.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "components")  # each round cuts the lineage
-        kept.clear()
+        edges = scratch.stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
 
 
 def _possible(a: str, b: str, config: NearDup):
@@ -318,31 +318,31 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component."""
-    kept = Kept()
+    scratch = Scratch(classes.sparkSession, "near-dup")
     keys = table_keys(classes, config)
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
     # Rows of keys that several classes share, used in all rounds.
-    held = kept.keep(keys.join(shared.select("key", "size"), "key"))
+    held = scratch.stored(keys.join(shared.select("key", "size"), "key"))
     weights = held.groupBy("rep").agg(F.sum("size").alias("weight"))
     centres = held.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "n")).alias("c")).select("key", (-F.col("c.least")).alias("centre"), F.col("c.n").alias("centre_n"))
     star = held.join(centres, "key").where("rep <> centre").where(_possible("n", "centre_n", config)).groupBy("rep", "centre").agg(F.count("*").alias("tables"))
     best = star.groupBy("rep").agg(F.max_by("centre", F.struct("tables", -F.col("centre"))).alias("centre"))
-    asked = kept.keep(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-    first = kept.keep(compared(asked, documents, config))
+    first = scratch.stored(compared(best.select(F.col("rep").alias("a"), F.col("centre").alias("b")), documents, config))
+    asked = first.select("a", "b")
 
-    rest = kept.keep(_open(held.select("key", "rep", "n"), first.where("linked")))
+    rest = scratch.stored(_open(held.select("key", "rep", "n"), first.where("linked")))
     of = asked.select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
     crowded = rest.where(F.col("outside") > config.crowd)
     votes = crowded.join(of.unionByName(of.select(F.col("pivot").alias("rep"), "pivot").distinct()), "rep").groupBy("key", "pivot").agg(F.count("*").alias("votes"))
-    chosen = kept.keep(votes.groupBy("key").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")))
+    chosen = scratch.stored(votes.groupBy("key").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")))
     more = crowded.join(chosen, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-    second = kept.keep(compared(more, documents, config))
+    second = scratch.stored(compared(more, documents, config))
     every = first.unionByName(second)
 
     facts = known(every, classes)
     last = _open(rest.select("key", "rep", "n"), every.where("linked")).join(chosen, "key", "left")
     sketches = classes.select("rep", *[F.col("sketch")[i].alias(c) for i, c in enumerate(config.sketch)])
-    last = kept.keep(last.join(facts, ["rep", "pivot"], "left").join(sketches, "rep"))
+    last = scratch.stored(last.join(facts, ["rep", "pivot"], "left").join(sketches, "rep"))
 
     def side(t):
         return [F.col("rep").alias(t), *[F.col(c).alias(f"{t}_{c}") for c in ("n", "root", *KNOWN, *config.sketch)]]
@@ -357,7 +357,7 @@ def links(documents: DataFrame, classes: DataFrame, config: NearDup) -> DataFram
     )
     third = compared(pairs, documents, config)
     linked = stored(every.unionByName(third).where("linked").select("a", "b").distinct(), "near-dup-links")
-    kept.clear()
+    scratch.clear()
     return linked
 
 
