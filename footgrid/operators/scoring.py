@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from footgrid import params
 from footgrid.functions.scalar import clip, sigmoid
+from footgrid.operators.stats import exact_quantiles
+from footgrid.storage import stored
 
 
 def ml_score(probabilities: dict[str, Column], weights: dict[str, float] = params.ML_WEIGHTS) -> Column:
@@ -30,7 +32,12 @@ def normalisers(df: DataFrame) -> DataFrame:
 
 
 def rule_risk(df: DataFrame) -> DataFrame:
-    """Adds risk_raw, safety_sigmoid and safety_robust; missing feature columns count as 0."""
+    """Adds risk_raw, safety_sigmoid and safety_robust; missing feature columns count as 0.
+
+    The features are written once, for three passes: whole-table statistics, the
+    risk's percentiles (by ranks, no task sees all values) and the scores.
+    """
+    df = stored(df, "risk")
     df = df.crossJoin(F.broadcast(normalisers(df)))  # one row
     span = F.col("len_max") - F.col("len_min")
     df = df.withColumn("len_norm", F.when(span > 0, (F.col("length_m") - F.col("len_min")) / span).otherwise(0.0))
@@ -55,11 +62,11 @@ def rule_risk(df: DataFrame) -> DataFrame:
         gate = gate | (F.lower(F.coalesce("footway", F.lit(""))) == "crossing")
     risk = (base + F.when(gate, gated).otherwise(0.0)) * (1 + 0.5 * F.col("len_norm")) * (1 + 0.4 * (F.col("deg_u_norm") + F.col("deg_v_norm")))
     df = df.withColumn("risk_raw", F.pow(F.greatest(risk, F.lit(0.0)), F.lit(params.RISK_EXPONENT)))
-    q = df.agg(F.percentile("risk_raw", F.array(F.lit(0.01), F.lit(0.99))).alias("risk_q"))
-    low, high = F.col("risk_q")[0], F.col("risk_q")[1]
+    low, high = exact_quantiles(df, "risk_raw", (0.01, 0.99))
+    if low is None:  # no segments
+        low = high = 0.0
     return (
-        df.crossJoin(F.broadcast(q))  # one row
-        .withColumn("safety_sigmoid", 100 * (1 - sigmoid((F.col("risk_raw") - params.SIGMOID_SHIFT) * params.SIGMOID_SCALE)))
-        .withColumn("safety_robust", 100 * (1 - (F.least(F.greatest("risk_raw", low), high) - low) / (high - low + 1e-9)))
-        .drop("risk_q", "len_min", "len_max")
+        df.withColumn("safety_sigmoid", 100 * (1 - sigmoid((F.col("risk_raw") - params.SIGMOID_SHIFT) * params.SIGMOID_SCALE)))
+        .withColumn("safety_robust", 100 * (1 - (F.least(F.greatest("risk_raw", F.lit(low)), F.lit(high)) - low) / (high - low + 1e-9)))
+        .drop("len_min", "len_max")
     )

@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, one of our own, which only a local session may use: its executors are its driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='footgrid-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -19,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -35,17 +43,9 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-class Scratch:
-    """Tables of one operator that its result doesn't need; ``clear`` deletes them once that is written."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.folder, self.count = spark, new_folder(spark, what), 0
-
-    def stored(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        delete_folder(self.spark, self.folder)
+def delete_made(spark: SparkSession) -> int:
+    """Delete every folder of this application's intermediate files; call it once their results are written. Returns their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_folder(spark, path)
+    return len(paths)
