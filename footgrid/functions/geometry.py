@@ -30,8 +30,10 @@ def segments_meet(a: str, b: str) -> str:
 
 
 def segment_meets_box(x1, y1, x2, y2, xmin, ymin, xmax, ymax) -> str:
-    """Bounding boxes overlap, borders included."""
-    return f"(greatest({x1},{x2})>={xmin} AND least({x1},{x2})<={xmax} AND greatest({y1},{y2})>={ymin} AND least({y1},{y2})<={ymax})"
+    """Whether a segment and a box share a point, borders included: their extents overlap and the line has no side that holds all corners."""
+    sides = ",".join(f"(({x2})-({x1}))*(({y})-({y1}))-(({y2})-({y1}))*(({x})-({x1}))" for x in (xmin, xmax) for y in (ymin, ymax))
+    extents = f"greatest({x1},{x2})>={xmin} AND least({x1},{x2})<={xmax} AND greatest({y1},{y2})>={ymin} AND least({y1},{y2})<={ymax}"
+    return f"({extents} AND least({sides})<=0 AND greatest({sides})>=0)"
 
 
 def _slab(p, d, a) -> tuple[str, str]:

@@ -80,7 +80,7 @@ def first_of(c: Column) -> Column:
 def box_clamp(b: dict[str, Column], width, height) -> dict[str, Column]:
     """Box corners as whole pixels within the image."""
     def into(c, most):
-        return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(most))))
+        return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(c.cast("int"), most if isinstance(most, Column) else F.lit(most))))
 
     return {"x1": into(b["x1"], width), "y1": into(b["y1"], height), "x2": into(b["x2"], width), "y2": into(b["y2"], height)}
 
@@ -124,3 +124,18 @@ def normalised_probabilities(columns: list[Column]) -> Column:
     clean = [F.coalesce(c, F.lit(0.0)) for c in columns]
     total = sum(clean[1:], clean[0])
     return F.array(*[c / F.when(total == 0, 1.0).otherwise(total) for c in clean])
+
+
+def rescaled(b: dict[str, Column], from_width, from_height, to_width, to_height) -> dict[str, Column]:
+    """Box corners in an image of another size, as whole pixels towards zero."""
+    return {n: (b[n] * ((to_width if n[0] == "x" else to_height) / (from_width if n[0] == "x" else from_height))).cast("int") for n in ("x1", "y1", "x2", "y2")}
+
+
+def container_json(c: Column) -> Column:
+    """A list, map or struct as JSON text."""
+    return F.to_json(c)
+
+
+def run_tag(at: Column | None = None) -> Column:
+    """A time, now by default, as a tag for names of runs."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
