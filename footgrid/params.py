@@ -91,7 +91,7 @@ GATE_WEIGHTS = {"tram": 2.0, "tramgleis": 1.2, "rast_tram_rail": 0.6 * RAST}
 
 # Routing cases: (alpha, beta, label).
 ROUTE_CASES = ((1.0, 0.0, "Fastest"), (1.0, 1.0, "Balanced"), (1.0, 3.0, "Safe"), (0.0, 1.0, "Safest"))
-BATCH_CASES = ((1.0, 3.0, "Safest"), (0.0, 1.0, "Absolute Safest"))
+BATCH_CASES = ((1.0, 0.0, "Fastest"), (1.0, 1.0, "Balanced"), (1.0, 3.0, "Safest"), (0.0, 1.0, "Absolute Safest"))
 
 # Aerial tiles: seconds a tile, start-up seconds, share for joining results.
 TILE_SECONDS, STARTUP_SECONDS, POST_SHARE = 0.20, 5.0, 0.03
