@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footgrid import params
+from footgrid.operators.spatial import nearest_k
+from footgrid.schema import with_row_id
 from footgrid.storage import stored
 
 
@@ -101,13 +103,31 @@ def statistics(edges: DataFrame) -> DataFrame:
     return n.crossJoin(km).crossJoin(parts).select("n_edges", "n_nodes", "total_km", "components", "largest_component", F.bround(2.0 * F.col("n_edges") / F.col("n_nodes"), 2).alias("mean_degree"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, node_id): the nearest node of each of a few query points, the least id of equally near ones.
+#: Query points up to which they are broadcast against one pass over the nodes.
+FEW_POINTS = 256
 
-    Unbounded nearest search: the points, a request's or a batch's origins and
-    destinations, are broadcast against one pass over the nodes; each task
-    keeps one candidate a point, so only that is shuffled.
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, x: str, y: str, few: int = FEW_POINTS) -> DataFrame:
+    """(key, node_id): the nearest node of each query point, however far; the least id of equally near ones.
+
+    A request's few points, counted first, are broadcast against one pass over
+    the nodes, each task keeping one candidate a point; a batch of more meets the
+    nodes in cells.
     """
-    few = F.broadcast(points.select(F.col(key), F.col(x).alias("_px"), F.col(y).alias("_py")))
-    d2 = F.pow(F.col("x") - F.col("_px"), 2) + F.pow(F.col("y") - F.col("_py"), 2)
-    return nodes.crossJoin(few).groupBy(key).agg(F.min_by("node_id", F.struct(d2, F.col("node_id"))).alias("node_id"))
+    asked = points.select(F.col(key), F.col(x).alias("x"), F.col(y).alias("y"))
+    if asked.limit(few + 1).count() <= few:
+        shared = F.broadcast(asked.withColumnsRenamed({"x": "_px", "y": "_py"}))
+        d2 = F.pow(F.col("x") - F.col("_px"), 2) + F.pow(F.col("y") - F.col("_py"), 2)
+        return nodes.crossJoin(shared).groupBy(key).agg(F.min_by("node_id", F.struct(d2, F.col("node_id"))).alias("node_id"))
+    return nearest_k(asked, nodes, 1, key, "node_id", ["x", "y"]).select(key, "node_id")
+
+
+def node_table(segments: DataFrame, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of segments: distinct rounded endpoints (node_id, x, y), numbered in their order, and the segments with u and v."""
+    at = {n: F.round(n, digits) for n in ("x1", "y1", "x2", "y2")}
+    ends = segments.select(F.explode(F.array(F.struct(at["x1"].alias("x"), at["y1"].alias("y")), F.struct(at["x2"].alias("x"), at["y2"].alias("y")))).alias("e")).select("e.x", "e.y").distinct()
+    nodes = stored(with_row_id(ends, "node_id", "x", "y").select("node_id", "x", "y"), "nodes")
+    placed = segments.withColumns({f"_{n}": c for n, c in at.items()})
+    for end, name in (("1", "u"), ("2", "v")):
+        placed = placed.join(nodes.select(F.col("node_id").alias(name), F.col("x").alias(f"_x{end}"), F.col("y").alias(f"_y{end}")), [f"_x{end}", f"_y{end}"])
+    return nodes, placed.drop("_x1", "_y1", "_x2", "_y2")

@@ -1,13 +1,15 @@
 """Safety-aware shortest paths.
 
 A street graph is small beside the requests put to it: its edges are counted
-first, and up to ``broadcast_edges`` are handed to the tasks as adjacency
-arrays, over which requests spread. A larger graph is refused; for it,
-``relaxed_costs`` gives costs by joins, but no paths or alternatives.
+first, and up to ``broadcast_edges`` are handed to the tasks, over which requests
+spread. In a larger graph, joins relax the costs from each request's source and
+target; the edges on ways that cost little more than the cheapest make a small
+graph for each request, in which the same search finds the paths.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -97,6 +99,21 @@ def graph_of(edges: pd.DataFrame) -> Graph:
     return Graph(near)
 
 
+#: A worker's last graph: tasks of one query share it.
+_kept: dict[str, Graph] = {}
+
+
+def _graph(token: str, edges: pd.DataFrame) -> Graph:
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = graph_of(edges)
+    return _kept[token]
+
+
+def _schema(requests: DataFrame) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "rank int", "total_cost double", "fids array<bigint>", "nodes array<bigint>"])
+
+
 def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: int = 2_000_000) -> DataFrame:
     """(request columns, rank, total_cost, fids, nodes) of the k cheapest simple paths of each request.
 
@@ -107,13 +124,12 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
     ship(spark)
     picked = edges.select("fid", "u", "v", "length_m", "safety")
     if picked.limit(broadcast_edges + 1).count() > broadcast_edges:
-        raise ValueError("the graph is too large to hand to every task; use relaxed_costs")
+        return large_routes(requests, picked, k)
     shared = spark.sparkContext.broadcast(picked.orderBy("u", "v", "fid").toPandas())  # bounded by the count above
-    columns = requests.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "rank int", "total_cost double", "fids array<bigint>", "nodes array<bigint>"])
+    columns, token = requests.columns, uuid.uuid4().hex
 
     def run(frames):
-        graph = graph_of(shared.value)
+        graph = _graph(token, shared.value)
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
@@ -121,27 +137,91 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
                     out.append([*(row[c] for c in columns), rank, cost, fids, nodes])
             yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
 
-    return requests.mapInPandas(run, schema)
+    return requests.mapInPandas(run, _schema(requests))
+
 
+def large_routes(requests: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
+    """``routes`` over a graph of any size.
 
-def relaxed_costs(requests: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(request_id, node, cost) from each request's source to every node it reaches, by rounds of joins; for graphs of any size. Costs not settled after ``max_rounds`` are an error."""
+    A path has only edges whose cost, with the least costs from the source to one
+    end and from the other end to the target, is within the path's. Each
+    request's edges within some slack above its cheapest path go to one task,
+    which searches them. A request is answered once its k-th path is within the
+    slack, or the slack takes in every edge; for the others it grows.
+    """
+    ship(requests.sparkSession)
+    asked = stored(requests.withColumn("_id", F.monotonically_increasing_id()), "routes-asked")
+    ends = {n: asked.select(F.col("_id").alias("request_id"), "alpha", "beta", F.col(n).alias("source")) for n in ("source", "target")}
+    there, back = (stored(relaxed_costs(ends[n], edges).withColumnRenamed("request_id", "_id"), f"routes-{n}") for n in ("source", "target"))
+    least = asked.select("_id", "alpha", "beta", "target").join(there.withColumnRenamed("node", "target"), ["_id", "target"]).select("_id", "alpha", "beta", F.col("cost").alias("least"))
+    both = edges.select("fid", "u", "v", "length_m", "safety")
+    both = both.unionByName(both.select("fid", F.col("v").alias("u"), F.col("u").alias("v"), "length_m", "safety"))
+    way = (
+        least.join(there.withColumnsRenamed({"node": "u", "cost": "from_cost"}), "_id").join(both, "u").join(back.withColumnsRenamed({"node": "v", "cost": "to_cost"}), ["_id", "v"])
+        .withColumn("way", F.col("from_cost") + edge_cost(F.col("length_m"), F.col("safety"), F.col("alpha"), F.col("beta")) + F.col("to_cost"))
+    )
+    way = stored(way.groupBy("_id", "fid").agg(*[F.first(c).alias(c) for c in ("u", "v", "length_m", "safety", "least")], F.min("way").alias("way")), "routes-ways")
+    limits = stored(way.groupBy("_id").agg(F.first("least").alias("least"), F.max("way").alias("most")), "routes-limits")
+    columns, waiting, done = requests.columns, asked.join(limits.select("_id"), "_id", "left_semi"), None  # without any way there is no path
+    schema = f"_id long, {_schema(requests)}, found int"
+
+    def run(key, left, right):
+        row = left.to_dict("records")[0]
+        paths = graph_of(right[["fid", "u", "v", "length_m", "safety"]].sort_values(["u", "v", "fid"])).shortest(row["source"], row["target"], row["alpha"], row["beta"], k)
+        return pd.DataFrame([[row["_id"], *(row[c] for c in columns), rank, cost, fids, nodes, len(paths)] for rank, (cost, fids, nodes) in enumerate(paths, 1)], columns=["_id", *columns, "rank", "total_cost", "fids", "nodes", "found"])
+
+    for slack in (0.0, 0.05, 0.2, 1.0) if k == 1 else (0.05, 0.2, 1.0):
+        within = F.col("least") + slack * (F.col("most") - F.col("least")) + 1e-9
+        near = way.drop("least").join(limits.join(waiting.select("_id"), "_id"), "_id").where((F.col("way") <= within) | F.lit(slack >= 1.0)).drop("least", "most", "way")
+        found = stored(waiting.groupBy("_id").cogroup(near.groupBy("_id")).applyInPandas(run, schema), "routes-found")
+        if slack >= 1.0:
+            sure = waiting.select("_id")
+        else:
+            sure = stored(found.where(F.col("rank") == k).select("_id", "total_cost").join(limits, "_id").where(F.col("total_cost") <= within).select("_id"), "routes-sure")
+        answered = found.join(sure, "_id", "left_semi").select(*columns, "rank", "total_cost", "fids", "nodes")
+        done = answered if done is None else done.unionByName(answered)
+        waiting = stored(waiting.join(sure, "_id", "left_anti"), "routes-waiting")
+        if waiting.isEmpty():
+            break
+    return done
+
+
+def relaxed_costs(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request_id, node, cost) from each request's source to every node it reaches, by rounds of joins until nothing gets cheaper; for graphs of any size."""
     e = edges.select("u", "v", "length_m", "safety")
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m", "safety"))
     best = stored(requests.select("request_id", "alpha", "beta", F.col("source").alias("node"), F.lit(0.0).alias("cost")), "relax")
     front = best
-    for _ in range(max_rounds):
+    while not front.isEmpty():  # costs are never negative, so this ends
         step = front.join(both, front["node"] == both["u"]).select("request_id", "alpha", "beta", F.col("v").alias("node"), (F.col("cost") + edge_cost(F.col("length_m"), F.col("safety"), F.col("alpha"), F.col("beta"))).alias("cost"))
         least = step.groupBy("request_id", "alpha", "beta", "node").agg(F.min("cost").alias("new"))
         front = stored(least.join(best.select("request_id", "node", F.col("cost").alias("old")), ["request_id", "node"], "left").where("old IS NULL OR new < old").select("request_id", "alpha", "beta", "node", F.col("new").alias("cost")), "relax-front")
-        if front.isEmpty():
-            break
         best = stored(best.unionByName(front).groupBy("request_id", "alpha", "beta", "node").agg(F.min("cost").alias("cost")), "relax")
-    else:
-        raise RuntimeError(f"costs are not settled after {max_rounds} rounds")
     return best.select("request_id", "node", "cost")
 
 
+def batch(networks: dict[str, DataFrame], ends: DataFrame, pairs=params.ROUTE_CASES, **kwargs) -> DataFrame:
+    """(method, route_id, alpha, beta, total_cost, total_length_m, mean_safety) of every route, method and (alpha, beta).
+
+    ends: route_id, source and target; networks: edges by method; pairs: (alpha, beta) or (alpha, beta, label).
+    """
+    spark, out = ends.sparkSession, None
+    weights = F.broadcast(spark.createDataFrame([(float(p[0]), float(p[1])) for p in pairs], "alpha double, beta double"))  # a few rows
+    for method, edges in networks.items():
+        requests = ends.select("route_id", "source", "target").crossJoin(weights).withColumn("request_id", F.concat_ws(":", "route_id", "alpha", "beta"))
+        found = routes(requests.repartition("request_id"), edges, **kwargs)
+        made = found.select("request_id", "route_id", "alpha", "beta").join(summaries(found, edges), "request_id").select(
+            F.lit(method).alias("method"), "route_id", "alpha", "beta", "total_cost", "total_length_m", "mean_safety")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def case_examples(results: DataFrame, labels=params.BATCH_CASES) -> DataFrame:
+    """Batch results of the labelled (alpha, beta), with their ``case``."""
+    table = F.broadcast(results.sparkSession.createDataFrame([(float(a), float(b), n) for a, b, n in labels], "alpha double, beta double, case string"))  # a few rows
+    return results.join(table, ["alpha", "beta"])
+
+
 def path_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for each edge of each route, in order."""
     long = found.select("*", F.posexplode("fids").alias("at", "fid")).drop("fids", "nodes")
