@@ -28,6 +28,27 @@ def windows(images: DataFrame, tile: int, shifts: tuple[tuple[int, int], ...] =
     return grid.select(*images.columns, F.col("_s.sx").alias("shift_x"), F.col("_s.sy").alias("shift_y"), (F.col("_c") * tile + F.col("_s.sx")).alias("x_off"), (F.col("_r") * tile + F.col("_s.sy")).alias("y_off"), (F.col("_r") * F.col("_cols") + F.col("_c")).alias("tile_no"))
 
 
+def with_boxes(tiles: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
+    """Windows (image_id, x_off, y_off) that some box (image_id, x1, y1, x2, y2 in pixels) meets, borders included.
+
+    Boxes go to the cells of the tiles' size that they cover, windows to the four
+    that they can lie in, so the two meet by an equi-key.
+    """
+    cell = lambda c: F.floor(c / F.lit(float(tile))).cast("long")
+    span = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    there = boxes.select("image_id", "x1", "y1", "x2", "y2").withColumn("_cx", span(F.col("x1"), F.col("x2"))).withColumn("_cy", span(F.col("y1"), F.col("y2")))
+    dealt = tiles.select("image_id", "x_off", "y_off").distinct().withColumn("_cx", span(F.col("x_off"), F.col("x_off") + tile)).withColumn("_cy", span(F.col("y_off"), F.col("y_off") + tile))
+    meets = "x1 <= x_off + {t} AND x2 >= x_off AND y1 <= y_off + {t} AND y2 >= y_off".format(t=tile)
+    hit = dealt.join(there, ["image_id", "_cx", "_cy"]).where(meets).select("image_id", "x_off", "y_off").distinct()
+    return tiles.join(hit, ["image_id", "x_off", "y_off"], "left_semi")
+
+
+def not_empty(tiles: DataFrame, pixels: str = "pixels", nodata: float | None = None) -> DataFrame:
+    """Tiles with a pixel that is neither 0 throughout nor no-data throughout."""
+    kept = tiles.where(F.exists(pixels, lambda v: v != 0))
+    return kept if nodata is None else kept.where(F.exists(pixels, lambda v: v != nodata))
+
+
 def prediction_tiles(images: DataFrame, tile: int) -> DataFrame:
     """Tiles that cover every image, cut at its edges."""
     cols, rows = F.ceil(F.col("width") / tile).cast("int"), F.ceil(F.col("height") / tile).cast("int")

@@ -51,3 +51,16 @@ def crops(images: DataFrame, size: int) -> DataFrame:
 def georeferenced(predictions: DataFrame) -> DataFrame:
     """Pixel corners (corners) to map corners by the tile's affine (a, e, c, f): x = a * col + c, y = e * row + f."""
     return predictions.withColumn("corners", F.transform("corners", lambda p: F.struct((F.col("a") * p["x"] + F.col("c")).alias("x"), (F.col("e") * p["y"] + F.col("f")).alias("y"))))
+
+
+def data_yaml(classes: list[str], base: str, train: str = "train/images", val: str = "valid/images") -> str:
+    """The data set's description: folders and class names by id, in the order given."""
+    import json
+
+    names = [f"  {i}: {json.dumps(n, ensure_ascii=False)}" for i, n in enumerate(classes)]
+    return "\n".join([f"path: {json.dumps(base, ensure_ascii=False)}", f"train: {train}", f"val: {val}", "names:", *names]) + "\n"
+
+
+def with_tiles(labels: DataFrame, tiles: DataFrame, key: str = "name") -> DataFrame:
+    """Label files and the raster tiles of the same base name; those without a partner go."""
+    return labels.join(tiles, key)

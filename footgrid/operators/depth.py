@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footgrid.functions.scalar import box_clamp
 from footgrid.params import DEPTH_INVALID
 
 METHODS = ("median", "mean", "minmax_avg", "center")
@@ -67,3 +68,37 @@ def combine(detections: DataFrame, min_conf: float = 0.2, method: str = "quantil
     """Objects with depth and class: boxes below confidence or without depth go before classes are formed."""
     kept = detections.where((F.col("confidence") >= min_conf) & F.col("depth").isNotNull())
     return {"quantile": quantiles, "thirds": thirds}[method](kept) if method != "thresholds" else thresholds(kept)
+
+
+def region(values: Column, width: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The values of a row-major array of ``width`` columns within a box of whole pixels, right and lower borders left out."""
+    none = F.array().cast("array<double>")
+    rows = F.transform(F.sequence(y1, y2 - 1), lambda y: F.slice(values, y * width + x1 + 1, x2 - x1))
+    return F.when((x2 > x1) & (y2 > y1), F.flatten(rows)).otherwise(none)
+
+
+def combine_maps(images: DataFrame, detections: DataFrame, maps: DataFrame, min_conf: float = 0.0, method: str = "median", classes: str = "quantile") -> tuple[DataFrame, DataFrame]:
+    """(objects, misses) of images (image_id, width, height), detections (image_id, objects) and depth maps (image_id, values, width, height).
+
+    objects: array of (label, confidence, x1, y1, x2, y2). An image without
+    detections or without a depth map is a miss; depth maps of another size are
+    resized by nearest neighbours; boxes become whole pixels within the image;
+    those without a valid depth go. misses: one row of counts.
+    """
+    depths = maps.select("image_id", F.col("values").alias("_values"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    joined = images.join(detections.select("image_id", "objects"), "image_id", "left").join(depths, "image_id", "left")
+    misses = joined.agg(
+        F.count("*").alias("images"), F.count_if(F.col("objects").isNull()).alias("missing_detections"),
+        F.count_if(F.col("objects").isNotNull() & F.col("_values").isNull()).alias("missing_depth"),
+    )
+    both = joined.where("objects IS NOT NULL AND _values IS NOT NULL")
+    at = lambda k: (F.floor((F.floor(k / F.col("width")) + 0.5) * F.col("_h") / F.col("height")) * F.col("_w") + F.floor((k % F.col("width") + 0.5) * F.col("_w") / F.col("width"))).cast("int")
+    scaled = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.get("_values", at(k)))
+    same = (F.col("_w") == F.col("width")) & (F.col("_h") == F.col("height"))
+    fitted = both.withColumn("_map", F.when(same, F.col("_values")).otherwise(scaled)).drop("_values", "_w", "_h")
+    long = fitted.select("image_id", "width", "height", "_map", F.posexplode("objects").alias("object_no", "o")).where(F.col("o.confidence") >= min_conf)
+    boxes = box_clamp({n: F.col(f"o.{n}") for n in ("x1", "y1", "x2", "y2")}, F.col("width"), F.col("height"))
+    boxes |= {"x1": F.least(boxes["x1"], F.col("width") - 1), "y1": F.least(boxes["y1"], F.col("height") - 1)}
+    placed = long.select("image_id", "object_no", "_map", "width", F.col("o.label").alias("label"), F.col("o.confidence").alias("confidence"), *[c.alias(n) for n, c in boxes.items()])
+    deep = placed.withColumn("_region", region(F.col("_map"), F.col("width"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).withColumn("depth", region_depth(F.col("_region"), method)).drop("_map", "_region", "width")
+    return combine(deep, min_conf, classes), misses

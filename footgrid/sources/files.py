@@ -19,6 +19,12 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
+def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header; types from the schema, or looked for in the data."""
+    reader = spark.read.option("header", True)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """(file, label, polygon) of every object of annotation documents."""
     schema = "objects array<struct<label: string, polygon: array<array<double>>>>"
