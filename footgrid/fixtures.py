@@ -13,13 +13,13 @@ from footgrid.tables import table
 
 VIEWS = {
     "fx_node": """
-SELECT c_custkey AS node_id, CAST(2680000 + (c_custkey * 7919) % 10007 AS DOUBLE) AS x, CAST(1246000 + (c_custkey * 104729) % 10009 AS DOUBLE) AS y
-FROM {customer}""",
+SELECT n AS node_id, CAST(2680000 + (n * 7919) % 10007 AS DOUBLE) AS x, CAST(1246000 + (n * 104729) % 10009 AS DOUBLE) AS y
+FROM (SELECT c_custkey * 4 + k AS n FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) l) m""",
     "fx_edge": """
 SELECT e.fid, e.u, e.v, e.safety, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS length_m
-FROM (SELECT o_orderkey AS fid, o_custkey AS u, (o_custkey*31 + o_orderkey*17) % (SELECT count(*) FROM {customer}) AS v,
+FROM (SELECT o_orderkey AS fid, o_custkey * 4 + o_orderkey % 4 AS u, ((o_custkey*31 + o_orderkey*17) % (SELECT count(*) FROM {customer})) * 4 + (o_custkey + o_orderkey * 3) % 4 AS v,
              CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice / 4000 END AS safety
-      FROM {orders} WHERE o_orderkey % 4 = 0) e
+      FROM {orders}) e
 JOIN {fx_node} a ON e.u = a.node_id JOIN {fx_node} b ON e.v = b.node_id""",
     "fx_seg": """
 SELECT fid, x1, y1, x1 + dx AS x2, y1 + dy AS y2, sqrt(dx*dx + dy*dy) AS length_m, safety_rb, safety_ml, highway, access
@@ -39,7 +39,7 @@ SELECT o_orderkey AS poly_id, CAST(2680000 + (o_orderkey * 53) % 2003 AS DOUBLE)
        CASE o_orderpriority WHEN '1-URGENT' THEN 'Fussgängerstreifen mit Insel' WHEN '2-HIGH' THEN 'Tram' WHEN '3-MEDIUM' THEN 'Auto'
             WHEN '4-NOT SPECIFIED' THEN '30er-Zone-Markierung' ELSE 'Pfeil' END AS class_name,
        CASE o_orderstatus WHEN 'F' THEN 'M1' WHEN 'O' THEN 'M2' ELSE 'M3' END AS model_name, o_totalprice / 500000 AS confidence
-FROM {orders} WHERE o_orderkey % 5 = 0""",
+FROM {orders}""",
     "fx_det": """
 SELECT CAST(l_orderkey AS STRING) AS image_id, l_extendedprice AS obj_key,
        CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_partkey % 124 AS INT) END AS label,
@@ -66,11 +66,14 @@ FROM {supplier}""",
     "fx_gt": """
 SELECT c_custkey AS gt_id, CAST(2680000 + ((c_custkey % 400) * 37) % 2003 AS DOUBLE) AS x, CAST(1246000 + ((c_custkey % 400) * 91) % 1999 AS DOUBLE) AS y,
        CASE c_nationkey % 4 WHEN 0 THEN 'Geeignet' WHEN 1 THEN 'erhöhte Anforderung' WHEN 2 THEN 'anspruchsvoll' ELSE 'nicht empfohlen' END AS difficulty
-FROM {customer} WHERE c_custkey % 3 = 0""",
+FROM {customer}""",
     "fx_od": """
 SELECT s_suppkey AS od_id, CAST(2680000 + (s_suppkey * 4241) % 10007 AS DOUBLE) AS sx, CAST(1246000 + (s_suppkey * 3571) % 10009 AS DOUBLE) AS sy,
        CAST(2680000 + (s_suppkey * 1493) % 10007 AS DOUBLE) AS tx, CAST(1246000 + (s_suppkey * 6007) % 10009 AS DOUBLE) AS ty
-FROM {supplier} WHERE s_suppkey < 8""",
+FROM {supplier}""",
+    "fx_area": """
+SELECT n_nationkey AS k, CAST(2680200 + (n_nationkey % 5) * 401 AS DOUBLE) AS cx, CAST(1246200 + floor(n_nationkey / 5) * 400 AS DOUBLE) AS cy, CAST(150 + 10 * (n_nationkey % 7) AS DOUBLE) AS r
+FROM {nation}""",
 }
 
 

@@ -260,8 +260,56 @@ SQL["union_ragged"] = "SELECT s_name AS name, s_acctbal, NULL AS c_mktsegment FR
 
 
 def random_sample_hash(spark, d):
-    """A sampling operator: the n rows of least keyed hash."""
-    return table(spark, d, "orders").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(100).select("o_orderkey")
+    """A sampling operator: the 100 rows of least keyed hash."""
+    keyed = F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string")).cast("binary"))
+    return table(spark, d, "orders").orderBy(keyed, "o_orderkey").limit(100).select("o_orderkey")
+
+
+SQL["random_sample_hash"] = "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100"
+
+
+def depth_objects(spark, d):
+    """Detections, depth maps and images by key: objects with depth and class, from arrays."""
+    from footgrid.operators import depth
+
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    images = orders.select("image_id", F.lit(16).alias("width"), F.lit(12).alias("height"))
+    det = table(spark, d, "lineitem").where("l_orderkey % 11 > 0").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("l_linenumber").cast("int").alias("label"), F.col("l_discount").alias("confidence"), (F.col("l_linenumber") - 2).cast("int").alias("x1"), (F.col("l_linenumber") - 1).cast("int").alias("y1"),
+        (F.col("l_linenumber") + 3 + F.col("l_partkey") % 9).cast("int").alias("x2"), (F.col("l_linenumber") + 2 + F.col("l_partkey") % 7).cast("int").alias("y2"),
+    ))).alias("objects"))
+    # Every third map has half the size; maps of every seventh image are missing.
+    small = F.col("image_id") % 3 == 0
+    w, h = F.when(small, 8).otherwise(16), F.when(small, 6).otherwise(12)
+    value = lambda i: F.when((i + F.col("image_id")) % 13 == 0, 9999.0).otherwise(((i * 7 + F.col("image_id")) % 50).cast("double"))
+    maps = orders.where("image_id % 7 > 0").select("image_id", w.alias("width"), h.alias("height"), F.transform(F.sequence(F.lit(0), w * h - 1), value).alias("values"))
+    objects, _ = depth.combine_maps(images, det, maps, min_conf=0.02)
+    return objects.select("image_id", "object_no", "label", "x1", "y1", "x2", "y2", F.round("depth", 6).alias("depth"), "z_class")
+
+
+SQL["depth_objects"] = """WITH b AS (SELECT l_orderkey AS image_id, l_linenumber AS label, l_discount AS confidence, l_linenumber - 2 AS x1, l_linenumber - 1 AS y1, l_linenumber + 3 + l_partkey % 9 AS x2, l_linenumber + 2 + l_partkey % 7 AS y2 FROM lineitem WHERE l_orderkey % 11 > 0 AND l_orderkey % 7 > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label, confidence, x1, y1, x2, y2) - 1 AS object_no FROM b),
+c AS (SELECT image_id, object_no, label, least(greatest(x1, 0), 15) AS x1, least(greatest(y1, 0), 11) AS y1, least(greatest(x2, 0), 16) AS x2, least(greatest(y2, 0), 12) AS y2 FROM n WHERE confidence >= 0.02e0 AND image_id IN (SELECT o_orderkey FROM orders)),
+px AS (SELECT *, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y FROM c), py AS (SELECT *, unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT))) AS x FROM px),
+pi AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN (y // 2) * 8 + x // 2 ELSE y * 16 + x END AS i FROM py),
+dv AS (SELECT image_id, object_no, label, x1, y1, x2, y2, median((i * 7 + image_id) % 50) AS depth FROM pi WHERE (i + image_id) % 13 <> 0 GROUP BY ALL),
+q AS (SELECT image_id, quantile_cont(depth, 0.25) AS a, quantile_cont(depth, 0.5) AS b, quantile_cont(depth, 0.75) AS c FROM dv GROUP BY image_id)
+SELECT dv.image_id, CAST(object_no AS INTEGER) AS object_no, CAST(label AS INTEGER) AS label, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, round(depth, 6) AS depth,
+CASE WHEN depth <= a THEN 'very near' WHEN depth <= b THEN 'near' WHEN depth <= c THEN 'medium' ELSE 'far' END AS z_class FROM dv JOIN q ON q.image_id = dv.image_id"""
+
+
+def depth_misses(spark, d):
+    """How many images lack detections or a depth map."""
+    from footgrid.operators import depth
+
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    images = orders.select("image_id", F.lit(1).alias("width"), F.lit(1).alias("height"))
+    det = orders.where("image_id % 11 > 0").withColumn("objects", F.array().cast("array<struct<label:int,confidence:double,x1:int,y1:int,x2:int,y2:int>>"))
+    maps = orders.where("image_id % 7 > 0").select("image_id", F.lit(1).alias("width"), F.lit(1).alias("height"), F.array(F.lit(1.0)).alias("values"))
+    return depth.combine_maps(images, det, maps)[1]
+
+
+SQL["depth_misses"] = "SELECT count(*) AS images, count(*) FILTER (o_orderkey % 11 = 0) AS missing_detections, count(*) FILTER (o_orderkey % 11 > 0 AND o_orderkey % 7 = 0) AS missing_depth FROM orders"
 
 
 def dense_class_ids(spark, d):

@@ -59,7 +59,8 @@ def stub_prune_2(spark, d):
 _KEPT = "SELECT fid, u, v, safety, length_m FROM w{n} WHERE deg_u IS NOT NULL AND NOT ((deg_u = 1 OR deg_v = 1) AND length_m < 3000)"
 SQL["stub_prune_2"] = f"{ctes('fx_edge')}, {_degree_cte('1', 'fx_edge')}, k1 AS ({_KEPT.format(n=1)}), {_degree_cte('2', 'k1')}, k2 AS ({_KEPT.format(n=2)}) SELECT fid, round(length_m, 6) AS length_m FROM k2"
 
-_REACH = "pr AS (SELECT u AS a, v AS b FROM fx_edge UNION SELECT v, u FROM fx_edge), reach(node, root) AS (SELECT a, a FROM pr UNION SELECT pr.b, reach.root FROM reach JOIN pr ON reach.node = pr.a), cc AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
+_REACH = """pr AS (SELECT u AS a, v AS b FROM fx_edge UNION SELECT v, u FROM fx_edge), cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM pr
+  UNION SELECT pr.b, min(cc.component) FROM cc JOIN pr ON pr.a = cc.node JOIN recurring.cc AS old ON old.node = pr.b WHERE cc.component < old.component GROUP BY pr.b)"""
 
 
 def connected_components(spark, d):
@@ -145,3 +146,22 @@ def routes_geojson(spark, d):
     edges = _network(spark, d)
     found = routing.routes(_requests(spark, d).repartition(8, "request_id"), edges)
     return routing.features(found, fixture(spark, d, "fx_node"), routing.summaries(found, edges))
+
+
+def routing_batch(spark, d):
+    """Every route by two methods and the labelled weights: costs of the case examples."""
+    edges = _network(spark, d)
+    networks = {"ml": edges, "rule-based": edges.withColumn("safety", 100 - F.coalesce("safety", F.lit(50.0)))}
+    found = routing.batch(networks, _ends(spark, d).withColumnRenamed("od_id", "route_id"))
+    return routing.case_examples(found).select("method", "route_id", "case", F.round("total_cost", 5).alias("total_cost"))
+
+
+_BATCH = ", ".join(f"({a}e0, {b}e0, '{n}')" for a, b, n in params.BATCH_CASES)
+SQL["routing_batch"] = f"""{ctes('fx_edge', 'fx_od')}, {_E}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cost, CASE WHEN safety IS NULL THEN 50 ELSE least(greatest(safety, 0), 100) END DESC, fid) AS k FROM e) WHERE k = 1),
+{_ENDS}, cs(alpha, beta, label) AS (VALUES {_BATCH}), ms(method) AS (VALUES ('ml'), ('rule-based')), rq AS (SELECT sn.od_id, method, label, source, target, row_number() OVER () AS rid FROM sn JOIN tn ON sn.od_id = tn.od_id, cs, ms),
+sf AS (SELECT method, a, b, length_m, least(greatest(CASE WHEN method = 'ml' THEN s ELSE 100 - s END, 0), 100) AS s FROM (SELECT *, least(greatest(coalesce(safety, 50), 0), 100) AS s FROM one), ms),
+es AS (SELECT method, label, a, b, greatest(0.0e0, alpha * length_m + beta * (100 - s) * length_m / 100) AS c FROM sf, cs), eb AS (SELECT method, label, a, b, c FROM es UNION ALL SELECT method, label, b, a, c FROM es),
+dj(rid, method, label, node, dist) USING KEY (rid, node) AS (SELECT rid, method, label, source, 0.0e0 FROM rq
+  UNION SELECT dj.rid, dj.method, dj.label, eb.b, min(dj.dist + eb.c) FROM dj JOIN eb ON eb.method = dj.method AND eb.label = dj.label AND eb.a = dj.node LEFT JOIN recurring.dj AS old ON old.rid = dj.rid AND old.node = eb.b
+  WHERE old.dist IS NULL OR dj.dist + eb.c < old.dist - 1e-9 GROUP BY dj.rid, dj.method, dj.label, eb.b)
+SELECT rq.method, od_id AS route_id, rq.label AS "case", round(dist, 5) AS total_cost FROM rq JOIN dj ON rq.rid = dj.rid AND dj.node = rq.target WHERE source <> target"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from footgrid.fixtures import ctes, fixture
 from footgrid.functions import geometry as G
-from footgrid.operators import dataset, shapes
+from footgrid.operators import areas, dataset, shapes
+from footgrid.plans import sqlgeo
 from footgrid.tables import table
 
 SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ def segment_renode(spark, d):
 
 
 _CUT = "((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1))/nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0)"
-SQL["segment_renode"] = f"""{ctes('fx_road')}, c AS (SELECT a.road_id, round({_CUT}, 9) AS t FROM fx_road a JOIN fx_road b ON a.road_id <> b.road_id AND {G.segments_meet('a', 'b')}),
+SQL["segment_renode"] = f"""{ctes('fx_road')}, c AS (SELECT a.road_id, round({_CUT}, 9) AS t FROM fx_road a JOIN fx_road b ON a.road_id <> b.road_id AND {sqlgeo.segments_meet('a', 'b')}),
 k AS (SELECT road_id, count(DISTINCT t) AS n FROM c WHERE t > 1e-9 AND t < 1 - 1e-9 GROUP BY road_id)
 SELECT r.road_id AS fid, coalesce(k.n, 0) + 1 AS n_parts, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 4) AS length_m FROM fx_road r LEFT JOIN k ON r.road_id = k.road_id"""
 
@@ -193,7 +194,7 @@ _AREA = [[(2680200.0, 1246100.0), (2681500.0, 1246300.0), (2681800.0, 1247600.0)
 
 
 def study_area_points(spark, d):
-    return shapes.points_within(fixture(spark, d, "fx_cam"), "x", "y", _AREA).select("id")
+    return areas.points_within(fixture(spark, d, "fx_cam"), "x", "y", _AREA).select("id")
 
 
 def _crossings(ring) -> str:
@@ -204,12 +205,12 @@ SQL["study_area_points"] = f"{ctes('fx_cam')} SELECT id FROM fx_cam WHERE (({_cr
 
 
 def study_area_segments(spark, d):
-    return shapes.segments_within(fixture(spark, d, "fx_seg"), _AREA).select("fid")
+    return areas.segments_within(fixture(spark, d, "fx_seg"), _AREA).select("fid")
 
 
 _BORDERS = ", ".join(f"({ax}, {ay}, {bx}, {by})" for ring in _AREA for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
 SQL["study_area_segments"] = f"""{ctes('fx_seg')}, br(x1, y1, x2, y2) AS (VALUES {_BORDERS}), s AS (SELECT *, x1 AS x, y1 AS y FROM fx_seg)
-SELECT fid FROM s a WHERE (({_crossings(_AREA[0])}) % 2 + ({_crossings(_AREA[1])}) % 2) % 2 = 1 OR EXISTS (SELECT 1 FROM br b WHERE {G.segments_meet('a', 'b')})"""
+SELECT fid FROM s a WHERE (({_crossings(_AREA[0])}) % 2 + ({_crossings(_AREA[1])}) % 2) % 2 = 1 OR EXISTS (SELECT 1 FROM br b WHERE {sqlgeo.segments_meet('a', 'b')})"""
 
 
 def attribute_transfer(spark, d):
