@@ -60,7 +60,8 @@ class Bpe:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.halves: dict[bytes, list[int]] = {}
-        self.pairs: dict[tuple[int, int], list[int]] = {}
+        #: By two tokens as one number: what they encode to together, None for themselves.
+        self.pairs: dict[int, list[int] | None] = {}
 
     def window(self, piece: bytes) -> list[int]:
         """Encode the few tokens' bytes around a seam."""
@@ -108,28 +109,27 @@ class Bpe:
                 heappush(heap, (r, h))
         return [ranks[p] for p in parts if p is not None]
 
-    def pair(self, a: int, b: int) -> list[int]:
-        """What the two tokens' bytes together encode to."""
-        found = self.pairs.get((a, b))
-        if found is None:
+    def pair(self, a: int, b: int) -> list[int] | None:
+        """What the two tokens' bytes together encode to; None if to just these two tokens."""
+        key = a << 32 | b
+        found = self.pairs.get(key, 0)
+        if found == 0:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b])
+            found = self.window(self.bytes_of[a] + self.bytes_of[b])
+            found = self.pairs[key] = None if len(found) == 2 and found[0] == a else found
         return found
 
-    def stands(self, a: int, b: int) -> bool:
-        """Whether the two tokens' bytes together encode to just these two tokens."""
-        found = self.pair(a, b)
-        return len(found) == 2 and found[0] == a
-
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the concatenation, from the encodings of its two parts."""
         if not a or not b:
             return a + b
         middle, width = self.pair(a[-1], b[0]), 1
+        if middle is None:
+            return a + b
         while True:
             rest, tail = a[:-width], b[width:]
-            if (not rest or self.stands(rest[-1], middle[0])) and (not tail or self.stands(middle[-1], tail[0])):
+            if (not rest or self.pair(rest[-1], middle[0]) is None) and (not tail or self.pair(middle[-1], tail[0]) is None):
                 return rest + middle + tail
             width *= 2
             middle = self.window(b"".join(map(self.bytes_of.__getitem__, a[-width:] + b[:width])))
@@ -138,14 +138,18 @@ class Bpe:
         """Encode halves recursively and join them."""
         if len(piece) < 2:
             return [self.ranks[piece]] if piece else []
+        middle = len(piece) // 2
+        return self.join(self.half(piece[:middle]), self.half(piece[middle:]))
+
+    def half(self, piece: bytes) -> list[int]:
+        """A half's encoding; short ones, which come again in other matches, are remembered."""
+        if len(piece) > 12:
+            return self.tree(piece)
         found = self.halves.get(piece)
         if found is None:
-            middle = len(piece) // 2
-            found = self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
-            if len(piece) <= 64:  # longer ones hardly come again
-                if len(self.halves) >= REMEMBERED:
-                    self.halves.clear()
-                self.halves[piece] = found
+            if len(self.halves) >= REMEMBERED:
+                self.halves.clear()
+            found = self.halves[piece] = self.tree(piece)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -162,6 +166,12 @@ class Bpe:
             out.append(ids)
         return product(out)
 
+    def forget(self) -> None:
+        """Free what is remembered: workers live on after a task, and other operators need their memory."""
+        self.known.clear()
+        self.halves.clear()
+        self.pairs.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return product(list(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())))
 
@@ -207,6 +217,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
+        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
@@ -231,6 +242,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.forget()
 
     rows = documents.select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
