@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each over all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each over all that its predecessor kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows
+and other columns with clashing names (which go), and gives no rows for none.
+"""
 
 from __future__ import annotations
 
@@ -14,26 +18,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    A null text is judged as an empty one; rows that repeat a doc_id are judged
+    each by its own text, equal rows alike; without labels none goes.
+    """
     docs = docs.select(*COLUMNS)
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.accepted(docs, model)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or score too low against the trusted target go."""
+    """Documents that fail the base rules or score too low against the trusted target go.
+
+    Null, empty and very short texts have too few words and go; rows that repeat
+    a doc_id are judged each by its own text, equal rows alike; without trusted
+    documents the base rules alone decide.
+    """
     return quality_rules.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays; equal rows stay once."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays; equal rows stay once.
+
+    Texts without words are duplicates of nothing and stay, and so do rows
+    without a doc_id. Of a doc_id with several texts all stay if it stands for
+    any of their groups, as it names one document.
+    """
     docs = docs.select(*COLUMNS)
     kept = near_dup.apply(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold any window of a benchmark item go."""
+    """Documents that hold any window of a benchmark item go.
+
+    Texts without words hold none and stay; rows that repeat a doc_id go by
+    their own text; an empty benchmark leaves all.
+    """
     docs = docs.select(*COLUMNS)
     found = decontaminate.apply(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     found = found.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).distinct()
@@ -42,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids are little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row: ids are little-endian unsigned 32-bit integers; null and empty texts have none."""
     found = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
