@@ -30,30 +30,48 @@ class Graph:
     near: dict[int, list[tuple[int, int, float, float]]]
 
     def path(self, source: int, target: int, alpha: float, beta: float, banned: frozenset = frozenset(), closed: frozenset = frozenset()):
-        """(cost, fids, nodes) of a cheapest path, None if there is none; equal costs go to the least node."""
+        """(cost, fids, nodes) of a cheapest path, None if there is none; searched from both ends at once."""
         if source in closed or target in closed:
             return None
-        best, done, heap = {source: (0.0, None, None)}, set(), [(0.0, source)]
-        while heap:
-            cost, node = heappop(heap)
-            if node in done:
+        if source == target:
+            return 0.0, [], [source]
+        far, near = float("inf"), self.near
+        costs, before, done = ({source: 0.0}, {target: 0.0}), ({}, {}), (set(), set())
+        heaps = ([(0.0, source)], [(0.0, target)])
+        best, meet = far, None
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < best:
+            side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
+            own, there = costs[side], costs[1 - side]
+            cost, node = heappop(heaps[side])
+            if node in done[side]:
                 continue
-            if node == target:
-                fids, nodes = [], [node]
-                while best[node][1] is not None:
-                    fids.append(best[node][2])
-                    node = best[node][1]
-                    nodes.append(node)
-                return cost, fids[::-1], nodes[::-1]
-            done.add(node)
-            for other, fid, length, safety in self.near.get(node, ()):
-                if other in done or other in closed or (node, other) in banned:
+            done[side].add(node)
+            for other, fid, length, safety in near.get(node, ()):
+                if other in done[side] or other in closed or ((node, other) if side == 0 else (other, node)) in banned:
                     continue
                 step = cost + max(0.0, alpha * length + beta * (100.0 - safety) * length / 100.0)
-                if other not in best or step < best[other][0]:
-                    best[other] = (step, node, fid)
-                    heappush(heap, (step, other))
-        return None
+                if step < own.get(other, far):
+                    own[other], before[side][other] = step, (node, fid)
+                    heappush(heaps[side], (step, other))
+                    if step + there.get(other, far) < best:
+                        best, meet = step + there[other], other
+        if meet is None:
+            return None
+        nodes, fids = [meet], []
+        while nodes[-1] != source:
+            node, fid = before[0][nodes[-1]]
+            nodes.append(node)
+            fids.append(fid)
+        nodes, fids = nodes[::-1], fids[::-1]
+        while nodes[-1] != target:
+            node, fid = before[1][nodes[-1]]
+            if node in nodes:  # edges that cost nothing can make a loop; it goes
+                at = nodes.index(node)
+                nodes, fids = nodes[: at + 1], fids[:at]
+            else:
+                nodes.append(node)
+                fids.append(fid)
+        return self.cost(nodes, fids, alpha, beta), fids, nodes
 
     def shortest(self, source: int, target: int, alpha: float, beta: float, k: int = 1):
         """The k cheapest simple paths, cheapest first (Yen)."""
