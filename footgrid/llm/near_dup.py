@@ -33,7 +33,7 @@ is confirmed on the full sets of shingles, words compared as words.
 A key held by a large group costs a row a member in 2 and 3, and in 4 only the
 few rows that are no part of the group are held against it. Joins are plain
 equi-joins, which AQE splits where a key is hot. With the default numbers a
-pair of similarity 0.8 shares a key with probability 0.997, of 0.85 with 0.9996.
+pair of similarity 0.8 shares a key with probability 0.9993, of 0.85 with 0.99995.
 
 Null texts and those without words have an empty set and are linked with
 nothing. doc_id names a document: rows that repeat one are each returned, and
@@ -69,7 +69,7 @@ BIT_COLUMNS = [f"b{i}" for i in range(2 * BITS // 64)]
 class NearDup:
     shingle: int = 5
     percent: int = 80
-    tables: int = 9
+    tables: int = 11
     rows: int = 3
     #: Rows outside its largest component from which a key gets a pivot; decides what is compared first, not what is found.
     crowd: int = 16
