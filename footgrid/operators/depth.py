@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footgrid.functions.scalar import box_clamp
 from footgrid.params import DEPTH_INVALID
+from footgrid.shipping import map_arrow
 
 METHODS = ("median", "mean", "minmax_avg", "center")
 
@@ -26,7 +29,7 @@ def region_depth(values: Column, method: str = "median", sentinel: float = DEPTH
     elif method == "minmax_avg":
         value = (F.array_min(valid) + F.array_max(valid)) / 2
     elif method == "center":
-        w = F.lit(width) if width else F.sqrt(F.size(values)).cast("int")
+        w = F.lit(width) if width else F.nullif(F.sqrt(F.size(values)).cast("int"), F.lit(0))  # an empty region has none
         rows = F.floor(F.size(values) / w).cast("int")
         middle = F.try_element_at(values, (F.floor(rows / 2) * w + F.floor(w / 2)).cast("int") + 1)
         return F.when(middle < sentinel, middle.cast("double"))
@@ -77,6 +80,60 @@ def region(values: Column, width: Column, x1: Column, y1: Column, x2: Column, y2
     return F.when((x2 > x1) & (y2 > y1), F.flatten(rows)).otherwise(none)
 
 
+#: Pixels that are gathered at once.
+PIXELS = 1_000_000
+
+
+def _box_depths(batches, method: str, sentinel: float = DEPTH_INVALID):
+    """image_id, _boxes and the depth of each box: ``region_depth`` of what each box holds of its image's map, resized by nearest neighbours."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    for batch in batches:
+        lists, maps = batch.column("_boxes"), batch.column("_values")
+        flat = lists.flatten()
+        x1, y1, x2, y2 = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("x1", "y1", "x2", "y2"))
+        image = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        width, height, w, h = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("width", "height", "_w", "_h"))
+        values, start = maps.flatten().to_numpy(zero_copy_only=False), maps.offsets.to_numpy().astype(np.int64)
+        start, length = start[:-1] - start[0], np.diff(start)
+        wide, tall = np.maximum(x2 - x1, 0), np.maximum(y2 - y1, 0)
+        size = np.where((wide > 0) & (tall > 0), wide * tall, 0)
+        if method == "center":  # only the middle one of the region, as if it were square
+            side = np.floor(np.sqrt(size)).astype(np.int64)
+            middle = np.where(size > 0, (size // np.maximum(side, 1) // 2) * side + side // 2, 0)
+            take = (size > 0).astype(np.int64)
+        else:
+            middle, take = np.zeros_like(size), size
+        depths = np.full(len(size), np.nan)
+        ends = np.cumsum(take)
+        first = 0
+        while first < len(take):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIXELS, "right")))
+            box = np.repeat(np.arange(first, last), take[first:last])
+            k = np.arange(len(box)) - np.repeat(np.cumsum(take[first:last]) - take[first:last], take[first:last]) + middle[box]
+            i = image[box]
+            x, y = x1[box] + k % wide[box], y1[box] + k // wide[box]
+            same = (w[i] == width[i]) & (h[i] == height[i])
+            row = np.where(same, y, np.floor((y + 0.5) * h[i] / height[i]).astype(np.int64))
+            col = np.where(same, x, np.floor((x + 0.5) * w[i] / width[i]).astype(np.int64))
+            at = row * w[i] + col
+            held = (at >= 0) & (at < length[i])
+            v, box = values[start[i[held]] + at[held]], box[held]
+            valid = v < sentinel  # a null is NaN here
+            v, box = v[valid], box[valid] - first
+            n = np.bincount(box, minlength=last - first)
+            some, from_ = np.flatnonzero(n), np.cumsum(n) - n
+            if method == "mean":
+                depths[first + some] = np.bincount(box, weights=v, minlength=last - first)[some] / n[some]
+            else:
+                v, lo, m = v[np.lexsort((v, box))], from_[some], n[some]
+                pair = (lo, lo + m - 1) if method == "minmax_avg" else (lo + (m - 1) // 2, lo + m // 2)
+                depths[first + some] = (v[pair[0]] + v[pair[1]]) / 2
+            first = last
+        made = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32()), pa.array(depths, mask=np.isnan(depths)))
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), lists, made], ["image_id", "_boxes", "_depths"])
+
+
 def combine_maps(images: DataFrame, detections: DataFrame, maps: DataFrame, min_conf: float = 0.0, method: str = "median", classes: str = "quantile") -> tuple[DataFrame, DataFrame]:
     """(objects, misses) of images (image_id, width, height), detections (image_id, objects) and depth maps (image_id, values, width, height).
 
@@ -92,13 +149,18 @@ def combine_maps(images: DataFrame, detections: DataFrame, maps: DataFrame, min_
         F.count_if(F.col("objects").isNotNull() & F.col("_values").isNull()).alias("missing_depth"),
     )
     both = joined.where("objects IS NOT NULL AND _values IS NOT NULL")
-    at = lambda k: (F.floor((F.floor(k / F.col("width")) + 0.5) * F.col("_h") / F.col("height")) * F.col("_w") + F.floor((k % F.col("width") + 0.5) * F.col("_w") / F.col("width"))).cast("int")
-    scaled = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.get("_values", at(k)))
-    same = (F.col("_w") == F.col("width")) & (F.col("_h") == F.col("height"))
-    fitted = both.withColumn("_map", F.when(same, F.col("_values")).otherwise(scaled)).drop("_values", "_w", "_h")
-    long = fitted.select("image_id", "width", "height", "_map", F.posexplode("objects").alias("object_no", "o")).where(F.col("o.confidence") >= min_conf)
-    boxes = box_clamp({n: F.col(f"o.{n}") for n in ("x1", "y1", "x2", "y2")}, F.col("width"), F.col("height"))
-    boxes |= {"x1": F.least(boxes["x1"], F.col("width") - 1), "y1": F.least(boxes["y1"], F.col("height") - 1)}
-    placed = long.select("image_id", "object_no", "_map", "width", F.col("o.label").alias("label"), F.col("o.confidence").alias("confidence"), *[c.alias(n) for n, c in boxes.items()])
-    deep = placed.withColumn("_region", region(F.col("_map"), F.col("width"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).withColumn("depth", region_depth(F.col("_region"), method)).drop("_map", "_region", "width")
+    width, height = F.col("width"), F.col("height")
+
+    def box(o, at):
+        corners = box_clamp({n: o[n] for n in ("x1", "y1", "x2", "y2")}, width, height)
+        corners |= {"x1": F.least(corners["x1"], width - 1), "y1": F.least(corners["y1"], height - 1)}
+        return F.struct(at.alias("object_no"), o["label"].alias("label"), o["confidence"].alias("confidence"), *[F.when(o[n].isNotNull(), c).alias(n) for n, c in corners.items()])
+
+    # A map meets all boxes of its image at once: it is neither copied for each of them nor resized where no box looks.
+    usable = lambda b: (b["confidence"] >= min_conf) & b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull()
+    held = both.withColumn("_boxes", F.filter(F.transform("objects", box), usable)).where("size(_boxes) > 0 AND width > 0 AND height > 0 AND _w IS NOT NULL AND _h IS NOT NULL")
+    held = held.select("image_id", "_boxes", "width", "height", F.col("_values").cast("array<double>"), "_w", "_h")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select("image_id", "_boxes").schema)
+    made = map_arrow(held, lambda batches: _box_depths(batches, method), f"{kinds}, _depths array<double>")
+    deep = made.select("image_id", F.explode(F.arrays_zip("_boxes", "_depths")).alias("z")).select("image_id", "z._boxes.*", F.col("z._depths").alias("depth"))
     return combine(deep, min_conf, classes), misses

@@ -1,5 +1,11 @@
 """What went wrong on larger tables, each in small."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from footgrid.operators import depth
 from tests.compare import query_rows, sql_rows
 
 
@@ -11,3 +17,27 @@ def test_segment_renode_counts_crossings_where_roads_lie_along_each_other(spark,
     spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     got = query_rows(__spark_entry__.queries()["segment_renode"](spark, str(tmp_path)))
     assert got == sql_rows(__spark_entry__.oracle_sql()["segment_renode"], tmp_path)
+
+
+@pytest.mark.parametrize("method", depth.METHODS)
+def test_box_depths_equal_region_depth(spark, method):
+    """Maps of their own size and of half of it, with nulls and invalid values; also repeated image ids. No row holds a map and one box."""
+    rng = random.Random(9)
+    value = lambda: rng.choice([None, 9999.0, *(float(rng.randint(0, 40)) for _ in range(8))])
+    images = spark.createDataFrame([(i // 2, 8, 6) for i in range(12)], "image_id long, width int, height int")
+    objects = [(i, [(1, 0.9, x, y, x + rng.randint(0, 5), y + rng.randint(1, 4)) for x, y in ((rng.randint(-2, 7), rng.randint(-2, 5)) for _ in range(4))] + [(1, 0.9, None, 0, 3, 3)]) for i in range(6)]
+    det = spark.createDataFrame(objects, "image_id long, objects array<struct<label:int,confidence:double,x1:int,y1:int,x2:int,y2:int>>")
+    maps = [(i, 8, 6, [value() for _ in range(48)]) if i % 2 else (i, 4, 3, [value() for _ in range(12)]) for i in range(6)]
+    found, _ = depth.combine_maps(images, det, spark.createDataFrame(maps, "image_id long, width int, height int, values array<double>"), method=method)
+    got = sorted((r["image_id"], r["object_no"], round(r["depth"], 9)) for r in found.collect())
+    want = []
+    for (i, boxes), (_, w, h, values) in zip(objects, maps):
+        for n, (_, _, *corners) in enumerate(boxes):
+            if None in corners:
+                continue
+            x1, y1, x2, y2 = (max(0, min(c, m)) for c, m in zip(corners, (7, 5, 8, 6)))
+            region = [values[int((y + 0.5) * h / 6) * w + int((x + 0.5) * w / 8)] for y in range(y1, y2) for x in range(x1, x2)]
+            want += [(i, n, region)] * 2
+    regions = spark.createDataFrame(want, "i long, n int, region array<double>").select("i", "n", depth.region_depth(F.col("region"), method).alias("depth")).where("depth IS NOT NULL")
+    assert got == sorted((r["i"], r["n"], round(r["depth"], 9)) for r in regions.collect()) and got
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
