@@ -1,131 +1,320 @@
 """Safety-aware shortest paths.
 
 A street graph is small beside the requests put to it: its edges are counted
-first, and up to ``broadcast_edges`` are handed to the tasks, over which requests
-spread. In a larger graph, joins relax the costs from each request's source and
+first, and up to ``broadcast_edges`` are handed to the executors as one file that
+tasks map, over which requests spread. In a larger graph, joins relax the costs from each request's source and
 target; the edges on ways that cost little more than the cheapest make a small
 graph for each request, in which the same search finds the paths.
 """
 
 from __future__ import annotations
 
+import contextlib
+import shutil
 import uuid
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footgrid import params
 from footgrid.operators.network import clamped_safety, edge_cost
-from footgrid.shipping import ship
+from footgrid.shipping import map_arrow, ship
 from footgrid.storage import stored
 
 
+def _index(ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(ids, nodes).astype(np.int32)
+
+
+def _usable(length, safety) -> tuple[np.ndarray, np.ndarray]:
+    """(length, risk) of edges: cost is ``alpha * length + beta * risk``; see ``network.edge_cost``."""
+    length, safety = np.asarray(length, float), np.asarray(safety, float)
+    length = np.where(np.isfinite(length) & (length > 0), length, 0.0)
+    return length, (100.0 - np.clip(np.where(np.isnan(safety), 50.0, safety), 0.0, 100.0)) * length / 100.0
+
+
+def _adjacency(u: np.ndarray, v: np.ndarray):
+    """(ids, ends, edges, neighbours): the nodes in order, where each one's arcs end, and each arc's edge and other node; both directions of every edge, no loops."""
+    ids = np.unique(np.concatenate([np.unique(u), np.unique(v)]))
+    u, v = _index(ids, u), _index(ids, v)
+    edges = np.flatnonzero(u != v).astype(np.int32)
+    u, v = u[edges], v[edges]
+    own, other, edges = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([edges, edges])
+    order = np.lexsort((other, own))
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(np.bincount(own, minlength=len(ids)), out=ends[1:])
+    return ids, ends, edges[order], other[order]
+
+
+#: Nodes joined by edges that cost nothing, from which on they are passed as one node.
+HUB_NODES = 64
+
+
 @dataclass
+class Hub:
+    """The most nodes that edges without cost join: whether each node belongs, and a tree over them (-1 at its root)."""
+
+    belongs: bytes
+    up: np.ndarray
+    edge: np.ndarray
+
+    def way(self, a: int, b: int) -> tuple[list[int], list[int]]:
+        """(nodes, edges) between two of its nodes, along the tree."""
+        climbs = []
+        for node in (a, b):
+            nodes, edges = [node], []
+            while self.up[nodes[-1]] >= 0:
+                edges.append(int(self.edge[nodes[-1]]))
+                nodes.append(int(self.up[nodes[-1]]))
+            climbs.append((nodes, edges))
+        (there, by), (back, over) = climbs
+        while len(there) > 1 and len(back) > 1 and there[-2] == back[-2]:
+            for x in (there, back, by, over):
+                x.pop()
+        return there + back[-2::-1], by + over[::-1]
+
+
 class Graph:
-    """Adjacency by node: (neighbour, fid, length, safety); both directions of every edge."""
+    """A street graph in arrays, which may be mapped from a file.
+
+    ids: nodes in order; ends, edges, others: see ``_adjacency``; fids, lengths, risks: by edge.
+    """
+
+    def __init__(self, ids, ends, edges, others, fids, lengths, risks):
+        self.ids, self.arrays = ids, (ends, edges, others, lengths, risks)
+        self.ends, self.edges, self.others, self.fids, self.lengths, self.risks = map(memoryview, (ends, edges, others, fids, lengths, risks))
+        self.hubs: dict[tuple[float, float], Hub | None] = {}
 
-    near: dict[int, list[tuple[int, int, float, float]]]
+    def at(self, node: int) -> int | None:
+        i = int(np.searchsorted(self.ids, node))
+        return i if i < len(self.ids) and self.ids[i] == node else None
 
-    def path(self, source: int, target: int, alpha: float, beta: float, banned: frozenset = frozenset(), closed: frozenset = frozenset()):
-        """(cost, fids, nodes) of a cheapest path, None if there is none; searched from both ends at once."""
-        if source in closed or target in closed:
+    def hub(self, alpha: float, beta: float) -> Hub | None:
+        if (alpha, beta) not in self.hubs:
+            self.hubs[alpha, beta] = self._hub(alpha, beta)
+        return self.hubs[alpha, beta]
+
+    def _hub(self, alpha: float, beta: float) -> Hub | None:
+        ends, edges, others, lengths, risks = self.arrays
+        free = alpha * lengths + beta * risks <= 0
+        if np.count_nonzero(free) < HUB_NODES - 1:
             return None
-        if source == target:
-            return 0.0, [], [source]
-        far, near = float("inf"), self.near
-        costs, before, done = ({source: 0.0}, {target: 0.0}), ({}, {}), (set(), set())
-        heaps = ([(0.0, source)], [(0.0, target)])
+        arcs = np.flatnonzero(free[edges])
+        own, other = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(ends))[arcs], others[arcs]
+        label = np.arange(len(self.ids))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, own, label[other])
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        sizes = np.bincount(label)
+        root = int(sizes.argmax())
+        if sizes[root] < HUB_NODES:
+            return None
+        belongs, inside = label == root, label[own] == root
+        own, other, by = own[inside], other[inside], edges[arcs[inside]]
+        up, edge, seen, front = np.full(len(belongs), -1, np.int32), np.full(len(belongs), -1, np.int32), ~belongs, np.zeros(len(belongs), bool)
+        seen[root] = front[root] = True
+        while front.any():
+            step = front[own] & ~seen[other]
+            up[other[step]], edge[other[step]] = own[step], by[step]  # of several ways to a node the last: the same one in both
+            front[:] = False
+            front[other[step]] = True
+            seen |= front
+        return Hub(belongs.tobytes(), up, edge)
+
+    def _between(self, source: int, target: int, alpha: float, beta: float, banned=frozenset(), closed=frozenset(), hub: Hub | None = None):
+        """(nodes, edges) of a cheapest path between two places, None if there is none.
+
+        Searched from both ends, always on the side that has fewer open nodes. A hub
+        is one node, -1, which no side ever needs to leave: the search is over once
+        it is the next one on both, or one of them has nothing else.
+        """
+        inside = hub.belongs if hub else None
+        first, last = (-1 if inside and inside[x] else x for x in (source, target))
+        if first == last:
+            return ([source], []) if source == target else hub.way(source, target)
+        far, ends, edges, others, lengths, risks = float("inf"), self.ends, self.edges, self.others, self.lengths, self.risks
+        costs, before, done, heaps = ({first: 0.0}, {last: 0.0}), ({}, {}), (set(), set()), ([(0.0, first)], [(0.0, last)])
         best, meet = far, None
-        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < best:
-            side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
-            own, there = costs[side], costs[1 - side]
-            cost, node = heappop(heaps[side])
-            if node in done[side]:
-                continue
+        while True:
+            for heap, settled in zip(heaps, done):
+                while heap and heap[0][1] in settled:
+                    heappop(heap)
+            if not heaps[0] or not heaps[1] or heaps[0][0][0] + heaps[1][0][0] >= best:
+                break
+            side = 0 if len(heaps[0]) <= len(heaps[1]) else 1
+            if heaps[side][0][1] == -1:
+                side = 1 - side
+            own, there, came, heap, least = costs[side], costs[1 - side], before[side], heaps[side], heaps[1 - side][0][0]
+            cost, node = heappop(heap)
             done[side].add(node)
-            for other, fid, length, safety in near.get(node, ()):
-                if other in done[side] or other in closed or ((node, other) if side == 0 else (other, node)) in banned:
+            a, b = ends[node], ends[node + 1]
+            for edge, other in zip(edges[a:b].tolist(), others[a:b].tolist()):
+                step = alpha * lengths[edge] + beta * risks[edge]
+                step = cost + step if step > 0 else cost
+                if step + least >= best:
+                    continue  # no way over it is cheaper than the best
+                if other in closed or (banned and ((node, other) if side == 0 else (other, node)) in banned):
                     continue
-                step = cost + max(0.0, alpha * length + beta * (100.0 - safety) * length / 100.0)
-                if step < own.get(other, far):
-                    own[other], before[side][other] = step, (node, fid)
-                    heappush(heaps[side], (step, other))
-                    if step + there.get(other, far) < best:
-                        best, meet = step + there[other], other
+                place = -1 if inside and inside[other] else other
+                if step < own.get(place, far):
+                    own[place], came[place] = step, (node, edge, other)
+                    heappush(heap, (step, place))
+                    if step + there.get(place, far) < best:
+                        best, meet = step + there[place], place
         if meet is None:
             return None
-        nodes, fids = [meet], []
-        while nodes[-1] != source:
-            node, fid = before[0][nodes[-1]]
-            nodes.append(node)
-            fids.append(fid)
-        nodes, fids = nodes[::-1], fids[::-1]
-        while nodes[-1] != target:
-            node, fid = before[1][nodes[-1]]
+        halves = []
+        for side, end in ((0, source), (1, target)):
+            at, nodes, by = meet, [], []
+            while at in before[side]:
+                node, edge, other = before[side][at]
+                nodes.append(other)
+                by.append(edge)
+                at = node
+            halves.append(([*nodes, end], by))
+        (back, by), (on, over) = halves
+        nodes, path = back[::-1], by[::-1]
+        if meet == -1 and back[0] != on[0]:
+            through, free = hub.way(back[0], on[0])
+            nodes, path = nodes + through[1:], path + free
+        for node, edge in zip(on[1:], over):
             if node in nodes:  # edges that cost nothing can make a loop; it goes
-                at = nodes.index(node)
-                nodes, fids = nodes[: at + 1], fids[:at]
+                i = nodes.index(node)
+                nodes, path = nodes[: i + 1], path[:i]
             else:
                 nodes.append(node)
-                fids.append(fid)
-        return self.cost(nodes, fids, alpha, beta), fids, nodes
+                path.append(edge)
+        return nodes, path
 
-    def shortest(self, source: int, target: int, alpha: float, beta: float, k: int = 1):
-        """The k cheapest simple paths, cheapest first (Yen)."""
-        first = self.path(source, target, alpha, beta)
-        if first is None:
-            return []
+    def _yen(self, first, target: int, alpha: float, beta: float, k: int, spur_of):
+        """The k cheapest simple paths (cost, edges, nodes), cheapest first, by Yen's deviations from the first."""
         found, waiting, seen = [first], [], {tuple(first[2])}
         while len(found) < k:
             nodes = found[-1][2]
             for i in range(len(nodes) - 1):
                 root = nodes[: i + 1]
                 banned = frozenset((p[2][i], p[2][i + 1]) for p in found if len(p[2]) > i + 1 and p[2][: i + 1] == root)
-                spur = self.path(nodes[i], target, alpha, beta, banned, frozenset(root[:-1]))
+                spur = spur_of(nodes[i], banned, frozenset(root[:-1]))
                 if spur is None:
                     continue
-                whole = root[:-1] + spur[2]
+                whole = root[:-1] + spur[0]
                 if tuple(whole) in seen:
                     continue
                 seen.add(tuple(whole))
-                fids = found[-1][1][:i] + spur[1]
-                heappush(waiting, (self.cost(whole, fids, alpha, beta), fids, whole))
+                path = found[-1][1][:i] + spur[1]
+                heappush(waiting, (self._cost(path, alpha, beta), path, whole))
             if not waiting:
                 break
             found.append(heappop(waiting))
         return found
 
-    def cost(self, nodes, fids, alpha, beta) -> float:
-        total = 0.0
-        for node, fid in zip(nodes, fids):
-            _, _, length, safety = next(e for e in self.near[node] if e[1] == fid)
-            total += max(0.0, alpha * length + beta * (100.0 - safety) * length / 100.0)
-        return total
+    def _cost(self, path, alpha: float, beta: float) -> float:
+        return sum((max(0.0, alpha * self.lengths[e] + beta * self.risks[e]) for e in path), 0.0)
+
+    def path(self, source: int, target: int, alpha: float, beta: float):
+        """(cost, fids, nodes) of a cheapest path, None if there is none."""
+        found = self.shortest(source, target, alpha, beta)
+        return found[0] if found else None
+
+    def shortest(self, source: int, target: int, alpha: float, beta: float, k: int = 1):
+        """The k cheapest simple paths (cost, fids, nodes), cheapest first."""
+        if source == target:
+            return [(0.0, [], [source])]
+        a, b = self.at(source), self.at(target)
+        if a is None or b is None:
+            return []
+        found = self._shortest(a, b, alpha, beta, k)
+        return [(cost, [self.fids[e] for e in path], [int(self.ids[n]) for n in nodes]) for cost, path, nodes in found]
+
+    def _shortest(self, source: int, target: int, alpha: float, beta: float, k: int):
+        one = self._between(source, target, alpha, beta, hub=self.hub(alpha, beta))
+        if one is None:
+            return []
+        return self._yen((self._cost(one[1], alpha, beta), one[1], one[0]), target, alpha, beta, k, lambda node, banned, closed: self._between(node, target, alpha, beta, banned, closed))
 
 
 def graph_of(edges: pd.DataFrame) -> Graph:
-    near: dict[int, list] = {}
-    for fid, u, v, length, safety in edges.itertuples(index=False):
-        s = 50.0 if pd.isna(safety) else min(max(float(safety), 0.0), 100.0)
-        l = float(length) if length == length and 0 < length < float("inf") else 0.0
-        near.setdefault(u, []).append((v, fid, l, s))
-        if u != v:
-            near.setdefault(v, []).append((u, fid, l, s))
-    return Graph(near)
+    """A graph of edges (fid, u, v, length_m, safety) in memory."""
+    u, v, fids = (edges[c].to_numpy(np.int64) for c in ("u", "v", "fid"))
+    ids, ends, arcs, others = _adjacency(u, v)
+    return Graph(ids, ends, arcs, others, fids, *_usable(edges["length_m"], edges["safety"]))
+
+
+def _pack(batches):
+    """Edges as (u, v, fid, length, risk), one row of bytes a batch."""
+    for batch in batches:
+        length, risk = _usable(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("length_m", "safety")))
+        columns = [*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("u", "v", "fid")), length, risk]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["u", "v", "fid", "length", "risk"])
+
+
+def graph_file(edges: DataFrame) -> str:
+    """Write the graph into one file that every executor gets; its name.
+
+    The driver holds the two ends of the edges and their order, all else goes
+    through it in batches.
+    """
+    context, name = edges.sparkSession.sparkContext, f"graph-{uuid.uuid4().hex}"
+    target = Path(SparkFiles.getRootDirectory()) / name  # where Spark would put the driver's copy
+    packed = map_arrow(edges.select("u", "v", "fid", F.col("length_m").cast("double"), F.col("safety").cast("double")), _pack, "u binary, v binary, fid binary, length binary, risk binary")
+    u, v, sides = [], [], {n: target.with_name(f"{name}-{n}") for n in ("fid", "length", "risk")}
+    with contextlib.ExitStack() as stack:
+        files = {n: stack.enter_context(p.open("wb")) for n, p in sides.items()}
+        for row in packed.toLocalIterator():
+            u.append(np.frombuffer(row["u"], np.int64))
+            v.append(np.frombuffer(row["v"], np.int64))
+            for n, file in files.items():
+                file.write(row[n])
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+    n_edges = len(u)
+    ids, ends, arcs, others = _adjacency(u, v)
+    del u, v
+    with target.open("wb") as out:
+        out.write(np.array([len(ids), len(arcs), n_edges], np.int64).tobytes())
+        for x in (ids, ends):
+            out.write(x.data)
+        for path in sides.values():
+            with path.open("rb") as part:
+                shutil.copyfileobj(part, out, 1 << 20)
+            path.unlink()
+        for x in (arcs, others):
+            out.write(x.data)
+    context.addFile(str(target))
+    return name
+
+
+def _mapped(path: str) -> Graph:
+    """The graph in a file of ``graph_file``; tasks of one machine share its pages."""
+    n, m, e = np.fromfile(path, np.int64, 3).tolist()
+    whole, at, parts = np.memmap(path, np.uint8, "r"), 24, []
+    for count, kind in ((n, np.int64), (n + 1, np.int64), (e, np.int64), (e, np.float64), (e, np.float64), (m, np.int32), (m, np.int32)):
+        size = count * np.dtype(kind).itemsize
+        parts.append(np.asarray(whole[at : at + size]).view(kind))
+        at += size
+    ids, ends, fids, lengths, risks, arcs, others = parts
+    return Graph(ids, ends, arcs, others, fids, lengths, risks)
 
 
 #: A worker's last graph: tasks of one query share it.
 _kept: dict[str, Graph] = {}
 
 
-def _graph(token: str, edges: pd.DataFrame) -> Graph:
-    if token not in _kept:
+def _graph(name: str) -> Graph:
+    if name not in _kept:
         _kept.clear()
-        _kept[token] = graph_of(edges)
-    return _kept[token]
+        _kept[name] = _mapped(SparkFiles.get(name))
+    return _kept[name]
 
 
 def _schema(requests: DataFrame) -> str:
@@ -137,25 +326,27 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
 
     requests: source, target (node ids), alpha, beta and any others. edges: one a
     node pair (fid, u, v, length_m, safety). A request without a path has no row.
+    Edges are read twice; what is found is stored, so that no use of it searches again.
     """
     spark = requests.sparkSession
     ship(spark)
     picked = edges.select("fid", "u", "v", "length_m", "safety")
     if picked.limit(broadcast_edges + 1).count() > broadcast_edges:
         return large_routes(requests, picked, k)
-    shared = spark.sparkContext.broadcast(picked.orderBy("u", "v", "fid").toPandas())  # bounded by the count above
-    columns, token = requests.columns, uuid.uuid4().hex
+    name, columns = graph_file(picked), requests.columns  # 46 bytes an edge, bounded by the count above
 
     def run(frames):
-        graph = _graph(token, shared.value)
+        graph = _graph(name)
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                for rank, (cost, fids, nodes) in enumerate(graph.shortest(row["source"], row["target"], row["alpha"], row["beta"], k), 1):
-                    out.append([*(row[c] for c in columns), rank, cost, fids, nodes])
-            yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
+            for start in range(0, len(frame), 500):
+                out = []
+                for row in frame.iloc[start : start + 500].to_dict("records"):
+                    for rank, (cost, fids, nodes) in enumerate(graph.shortest(row["source"], row["target"], row["alpha"], row["beta"], k), 1):
+                        out.append([*(row[c] for c in columns), rank, cost, fids, nodes])
+                yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
 
-    return requests.mapInPandas(run, _schema(requests))
+    spread = requests.repartition(4 * spark.sparkContext.defaultParallelism, "source", "target", "alpha", "beta")
+    return stored(spread.mapInPandas(run, _schema(requests)), "routes")
 
 
 def large_routes(requests: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
@@ -227,7 +418,7 @@ def batch(networks: dict[str, DataFrame], ends: DataFrame, pairs=params.ROUTE_CA
     weights = F.broadcast(spark.createDataFrame([(float(p[0]), float(p[1])) for p in pairs], "alpha double, beta double"))  # a few rows
     for method, edges in networks.items():
         requests = ends.select("route_id", "source", "target").crossJoin(weights).withColumn("request_id", F.concat_ws(":", "route_id", "alpha", "beta"))
-        found = routes(requests.repartition("request_id"), edges, **kwargs)
+        found = routes(requests, edges, **kwargs)
         made = found.select("request_id", "route_id", "alpha", "beta").join(summaries(found, edges), "request_id").select(
             F.lit(method).alias("method"), "route_id", "alpha", "beta", "total_cost", "total_length_m", "mean_safety")
         out = made if out is None else out.unionByName(made)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from footgrid import params
 from footgrid.fixtures import ctes, fixture
 from footgrid.operators import network, routing
+from footgrid.storage import stored
 
 SQL: dict[str, str] = {}
 _COST = "greatest(0.0e0, {a} * length_m + {b} * (100 - CASE WHEN safety IS NULL THEN 50 ELSE least(greatest(safety, 0), 100) END) * length_m / 100)"
@@ -115,11 +116,12 @@ def _requests(spark, d):
 
 
 def _network(spark, d):
-    return network.collapse_parallels(fixture(spark, d, "fx_edge"), "safer").select("fid", F.col("a").alias("u"), F.col("b").alias("v"), "length_m", "safety")
+    """Stored, as routes and their summaries each read it."""
+    return stored(network.collapse_parallels(fixture(spark, d, "fx_edge"), "safer").select("fid", F.col("a").alias("u"), F.col("b").alias("v"), "length_m", "safety"), "network")
 
 
 def shortest_path_cost(spark, d):
-    found = routing.routes(_requests(spark, d).repartition(8, "request_id"), _network(spark, d))
+    found = routing.routes(_requests(spark, d), _network(spark, d))
     return found.select("od_id", "label", F.round("total_cost", 5).alias("total_cost"))
 
 
@@ -134,17 +136,17 @@ SELECT od_id, rq.label, round(dist, 5) AS total_cost FROM rq JOIN dj ON rq.rid =
 
 def route_summary(spark, d):
     edges = _network(spark, d)
-    return routing.summaries(routing.routes(_requests(spark, d).repartition(8, "request_id"), edges), edges)
+    return routing.summaries(routing.routes(_requests(spark, d), edges), edges)
 
 
 def k_shortest(spark, d):
-    found = routing.routes(_requests(spark, d).where("label = 'Balanced'").repartition(8, "request_id"), _network(spark, d), k=3)
+    found = routing.routes(_requests(spark, d).where("label = 'Balanced'"), _network(spark, d), k=3)
     return found.select("od_id", "rank", F.round("total_cost", 5).alias("total_cost"), F.size("fids").alias("n_edges"))
 
 
 def routes_geojson(spark, d):
     edges = _network(spark, d)
-    found = routing.routes(_requests(spark, d).repartition(8, "request_id"), edges)
+    found = routing.routes(_requests(spark, d), edges)
     return routing.features(found, fixture(spark, d, "fx_node"), routing.summaries(found, edges))
 
 
