@@ -55,6 +55,8 @@ def _adjacency(u: np.ndarray, v: np.ndarray):
 
 #: Nodes joined by edges that cost nothing, from which on they are passed as one node.
 HUB_NODES = 64
+#: What paths may cost beyond the cheapest in the searches for the k cheapest, before the search is unbounded.
+SLACKS = (0.05, 0.15, 0.5)
 
 
 @dataclass
@@ -197,6 +199,88 @@ class Graph:
                 path.append(edge)
         return nodes, path
 
+    def _near(self, source: int, target: int, alpha: float, beta: float, slack: float):
+        """(limit, arcs by node, costs to the target) of all that lies on paths within ``slack`` above the cheapest; None without a path.
+
+        A node of such a path is within what one side has settled once both sides'
+        next nodes together are beyond the limit; each side then goes on over what
+        the other has settled.
+        """
+        far, ends, edges, others, lengths, risks = float("inf"), self.ends, self.edges, self.others, self.lengths, self.risks
+        costs, done, heaps, best, limit = ({source: 0.0}, {target: 0.0}), ({}, {}), ([(0.0, source)], [(0.0, target)]), far, far
+
+        def settle(side, cost, node, known, least):
+            nonlocal best, limit
+            own, there, heap = costs[side], costs[1 - side], heaps[side]
+            done[side][node] = cost
+            a, b = ends[node], ends[node + 1]
+            for edge, other in zip(edges[a:b].tolist(), others[a:b].tolist()):
+                step = alpha * lengths[edge] + beta * risks[edge]
+                step = cost + step if step > 0 else cost
+                if step + known.get(other, least) > limit:
+                    continue
+                if step < own.get(other, far):
+                    own[other] = step
+                    heappush(heap, (step, other))
+                    if step + there.get(other, far) < best:
+                        best = step + there[other]
+                        limit = best * (1 + slack) + 1e-9
+
+        while True:
+            for heap, settled in zip(heaps, done):
+                while heap and heap[0][1] in settled:
+                    heappop(heap)
+            if not heaps[0] or not heaps[1] or heaps[0][0][0] + heaps[1][0][0] > limit:
+                break
+            side = 0 if len(heaps[0]) <= len(heaps[1]) else 1
+            cost, node = heappop(heaps[side])
+            settle(side, cost, node, done[1 - side], heaps[1 - side][0][0])
+        if best == far:
+            return None
+        known = (dict(done[0]), dict(done[1]))
+        for side in (0, 1):
+            heap, other_side = heaps[side], known[1 - side]
+            while heap:
+                cost, node = heappop(heap)
+                if node not in done[side] and cost + other_side.get(node, far) <= limit:
+                    settle(side, cost, node, other_side, far)
+        there, back = done
+        arcs = {}
+        for node, cost in there.items():
+            if cost + back.get(node, far) <= limit:
+                a, b = ends[node], ends[node + 1]
+                near = []
+                for edge, other in zip(edges[a:b].tolist(), others[a:b].tolist()):
+                    step = max(0.0, alpha * lengths[edge] + beta * risks[edge])
+                    if cost + step + back.get(other, far) <= limit:
+                        near.append((other, edge, step))
+                arcs[node] = near
+        return limit, arcs, back
+
+    @staticmethod
+    def _spur(arcs, back, source: int, target: int, banned, closed):
+        """``_between`` within what ``_near`` found, led by the costs to the target."""
+        far, costs, came, done, heap = float("inf"), {source: 0.0}, {}, set(), [(back[source], source)]
+        while heap:
+            _, node = heappop(heap)
+            if node == target:
+                nodes, path = [node], []
+                while nodes[-1] in came:
+                    at, edge = came[nodes[-1]]
+                    nodes.append(at)
+                    path.append(edge)
+                return nodes[::-1], path[::-1]
+            if node in done:
+                continue
+            done.add(node)
+            for other, edge, step in arcs.get(node, ()):
+                if other in done or other in closed or (node, other) in banned:
+                    continue
+                if costs[node] + step < costs.get(other, far):
+                    costs[other], came[other] = costs[node] + step, (node, edge)
+                    heappush(heap, (costs[other] + back[other], other))
+        return None
+
     def _yen(self, first, target: int, alpha: float, beta: float, k: int, spur_of):
         """The k cheapest simple paths (cost, edges, nodes), cheapest first, by Yen's deviations from the first."""
         found, waiting, seen = [first], [], {tuple(first[2])}
@@ -238,6 +322,16 @@ class Graph:
         return [(cost, [self.fids[e] for e in path], [int(self.ids[n]) for n in nodes]) for cost, path, nodes in found]
 
     def _shortest(self, source: int, target: int, alpha: float, beta: float, k: int):
+        for slack in SLACKS if k > 1 else ():
+            near = self._near(source, target, alpha, beta, slack)
+            if near is None:
+                return []
+            limit, arcs, back = near
+            spur_of = lambda node, banned, closed: self._spur(arcs, back, node, target, banned, closed)  # noqa: B023, E731
+            nodes, path = spur_of(source, frozenset(), frozenset())
+            found = self._yen((self._cost(path, alpha, beta), path, nodes), target, alpha, beta, k, spur_of)
+            if len(found) == k and found[-1][0] <= limit:
+                return found
         one = self._between(source, target, alpha, beta, hub=self.hub(alpha, beta))
         if one is None:
             return []
@@ -321,7 +415,7 @@ def _schema(requests: DataFrame) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "rank int", "total_cost double", "fids array<bigint>", "nodes array<bigint>"])
 
 
-def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: int = 2_000_000) -> DataFrame:
+def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: int = 20_000_000) -> DataFrame:
     """(request columns, rank, total_cost, fids, nodes) of the k cheapest simple paths of each request.
 
     requests: source, target (node ids), alpha, beta and any others. edges: one a

@@ -68,3 +68,31 @@ def test_a_far_end_is_searched_from_its_own_side(pops):
     edges.append((10**6, 50, 5000, 10_000.0, 50.0))
     assert _graph(edges).path(7, 5000, 1.0, 0.0)[0] == pytest.approx(_costs(edges, 7, 1.0, 0.0)[5000])
     assert pops[0] < 1000
+
+
+def test_k_shortest_searches_only_near_the_cheapest(pops):
+    graph = _graph(_random(3000, 9000))
+    near = [graph.shortest(s, s + 900, 1.0, 1.0, 3) for s in range(10)]
+    taken, pops[0] = pops[0], 0
+    slow = []
+    for s in range(10):
+        a, b = graph.at(s), graph.at(s + 900)
+        nodes, path = graph._between(a, b, 1.0, 1.0)
+        slow.append(graph._yen((graph._cost(path, 1.0, 1.0), path, nodes), b, 1.0, 1.0, 3, lambda n, banned, closed, b=b: graph._between(n, b, 1.0, 1.0, banned, closed)))
+    assert [[round(p[0], 7) for p in x] for x in near] == [[round(p[0], 7) for p in x] for x in slow]
+    assert taken < pops[0]
+
+
+def test_a_graph_in_a_file_is_the_graph(spark):
+    edges = [*_random(60, 150), (900, 3, 3, 5.0, None), (901, 1, 70, -4.0, 130.0), (902, 2, 71, float("inf"), None)]
+    name = routing.graph_file(spark.createDataFrame(edges, EDGES))
+    mapped, made = routing._mapped(SparkFiles.get(name)), _graph([(*e[:4], float("nan") if e[4] is None else e[4]) for e in edges])
+    for target in [*range(1, 60), 70, 71, 72]:
+        for k in (1, 3):
+            assert [p[::2] for p in mapped.shortest(0, target, 1.0, 2.0, k)] == [p[::2] for p in made.shortest(0, target, 1.0, 2.0, k)]
+
+
+def test_graphs_of_millions_of_edges_fit_the_file():
+    import inspect
+
+    assert inspect.signature(routing.routes).parameters["broadcast_edges"].default >= 9_000_000
