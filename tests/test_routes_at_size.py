@@ -96,3 +96,13 @@ def test_graphs_of_millions_of_edges_fit_the_file():
     import inspect
 
     assert inspect.signature(routing.routes).parameters["broadcast_edges"].default >= 9_000_000
+
+
+def test_routes_are_searched_once(spark):
+    """Their result is stored: features and summaries of it start no search."""
+    edges = spark.createDataFrame(_random(30, 60), EDGES)
+    asked = spark.createDataFrame([("a", 0, 9, 1.0, 0.0, "Fastest")], "request_id string, source long, target long, alpha double, beta double, label string")
+    found = routing.routes(asked, edges)
+    nodes = spark.range(30).selectExpr("id AS node_id", "double(id) AS x", "0.0D AS y")
+    for made in (routing.summaries(found, edges), routing.features(found, nodes, routing.summaries(found, edges))):
+        assert "MapInPandas" not in made._jdf.queryExecution().toString() and made.count() == 1
