@@ -113,3 +113,10 @@ def test_nodes_are_never_broadcast(spark, tiny):
     """A small file of customers makes many nodes; Spark would broadcast them by the file's size."""
     plan = fixture(spark, tiny, "fx_edge")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_a_batch_is_searched_once_for_each_network(spark):
+    edges = spark.createDataFrame(_random(30, 60), EDGES)
+    ends = spark.createDataFrame([("R1", 0, 9)], "route_id string, source long, target long")
+    made = routing.batch({"ml": edges, "rule-based": edges}, ends)
+    assert "MapInPandas" not in made._jdf.queryExecution().toString() and made.count() == 8
