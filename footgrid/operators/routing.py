@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import shutil
 import uuid
+from bisect import bisect_right
 from dataclasses import dataclass
 from heapq import heappop, heappush
 from pathlib import Path
@@ -55,17 +56,23 @@ def _adjacency(u: np.ndarray, v: np.ndarray):
 
 #: Nodes joined by edges that cost nothing, from which on they are passed as one node.
 HUB_NODES = 64
+#: (end, node) places of the searches that are made at once: 12 bytes each.
+PLACES = 16_000_000
+#: How far one round of such searches goes, in mean costs of an edge, and arcs it follows at most at once.
+STRIDE, ROUND_ARCS = 0.1, 2_000_000
 #: What paths may cost beyond the cheapest in the searches for the k cheapest, before the search is unbounded.
 SLACKS = (0.05, 0.15, 0.5)
 
 
 @dataclass
 class Hub:
-    """The most nodes that edges without cost join: whether each node belongs, and a tree over them (-1 at its root)."""
+    """The most nodes that edges without cost join: whether each node belongs, a tree over them (-1 at its root), and each node's place, the root for those."""
 
     belongs: bytes
     up: np.ndarray
     edge: np.ndarray
+    root: int
+    place: np.ndarray
 
     def way(self, a: int, b: int) -> tuple[list[int], list[int]]:
         """(nodes, edges) between two of its nodes, along the tree."""
@@ -93,6 +100,8 @@ class Graph:
         self.ids, self.arrays = ids, (ends, edges, others, lengths, risks)
         self.ends, self.edges, self.others, self.fids, self.lengths, self.risks = map(memoryview, (ends, edges, others, fids, lengths, risks))
         self.hubs: dict[tuple[float, float], Hub | None] = {}
+        self.weighed: tuple[tuple[float, float], np.ndarray, float] | None = None
+        self.room: tuple[np.ndarray, np.ndarray] | None = None
 
     def at(self, node: int) -> int | None:
         i = int(np.searchsorted(self.ids, node))
@@ -132,7 +141,7 @@ class Graph:
             front[:] = False
             front[other[step]] = True
             seen |= front
-        return Hub(belongs.tobytes(), up, edge)
+        return Hub(belongs.tobytes(), up, edge, root, np.where(belongs, root, np.arange(len(belongs))).astype(np.int32))
 
     def _between(self, source: int, target: int, alpha: float, beta: float, banned=frozenset(), closed=frozenset(), hub: Hub | None = None):
         """(nodes, edges) of a cheapest path between two places, None if there is none.
@@ -185,9 +194,14 @@ class Graph:
                 by.append(edge)
                 at = node
             halves.append(([*nodes, end], by))
-        (back, by), (on, over) = halves
+        return self._joined(*halves, hub)
+
+    @staticmethod
+    def _joined(there, here, hub: Hub | None):
+        """(nodes, edges) of the ways back from where two searches met to the one's end and on to the other's."""
+        (back, by), (on, over) = there, here
         nodes, path = back[::-1], by[::-1]
-        if meet == -1 and back[0] != on[0]:
+        if back[0] != on[0]:  # they met in the hub
             through, free = hub.way(back[0], on[0])
             nodes, path = nodes + through[1:], path + free
         for node, edge in zip(on[1:], over):
@@ -199,6 +213,141 @@ class Graph:
                 path.append(edge)
         return nodes, path
 
+    def _weights(self, alpha: float, beta: float) -> tuple[np.ndarray, float]:
+        """What each edge costs, and their mean; the last ones are kept."""
+        if self.weighed is None or self.weighed[0] != (alpha, beta):
+            weights = alpha * self.arrays[3]
+            weights += beta * self.arrays[4]
+            weights[~(weights > 0)] = 0.0
+            self.weighed = (alpha, beta), weights, float(weights.mean())
+        return self.weighed[1:]
+
+    def cheapest(self, pairs: list[tuple[int, int]], alpha: float, beta: float):
+        """``path`` of each (source, target), by searches made at once in arrays."""
+        out: list = [None] * len(pairs)
+        hub, asked = self.hub(alpha, beta), []
+        for i, (source, target) in enumerate(pairs):
+            if source == target:
+                out[i] = (0.0, [], [source])
+                continue
+            a, b = self.at(source), self.at(target)
+            if a is None or b is None:
+                continue
+            if hub and hub.belongs[a] and hub.belongs[b]:
+                out[i] = self._named(*hub.way(a, b), alpha, beta)
+            else:
+                asked.append((i, a, b))
+        most = max(1, PLACES // (2 * max(1, len(self.ids))))
+        for start in range(0, len(asked), most):
+            part = asked[start : start + most]
+            for (i, _, _), found in zip(part, self._together([x[1:] for x in part], alpha, beta, hub)):
+                out[i] = found and self._named(*found, alpha, beta)
+        return out
+
+    def _named(self, nodes, path, alpha: float, beta: float):
+        return self._cost(path, alpha, beta), [self.fids[e] for e in path], [int(self.ids[n]) for n in nodes]
+
+    def _together(self, pairs: list[tuple[int, int]], alpha: float, beta: float, hub: Hub | None):
+        """``_between`` of many pairs of places, none of them within the hub.
+
+        In each round every search follows the arcs of its open places up to a stride
+        beyond the nearest one; a place that is reached more cheaply later is open
+        again. What is cheaper than the nearest open place is final, so a pair is
+        done as in ``_between``. Both sides go on unless one has far more open places.
+        """
+        n, (weights, mean) = len(self.ids), self._weights(alpha, beta)
+        ends, edges, others, _, _ = self.arrays
+        if self.room is None:
+            size = n * 2 * max(1, PLACES // (2 * n))
+            self.room = np.full(size, np.inf), np.empty(size, np.int32)
+        costs, came = self.room
+        slots, stride = 2 * len(pairs), STRIDE * mean
+        slot, node = np.arange(slots), np.array(pairs, np.int64).ravel()
+        if hub:
+            node = hub.place[node]
+        base, twin = slot * n, slot ^ 1
+        key, label = base + node, np.zeros(slots)
+        costs[key], came[key] = 0.0, -1
+        touched, best, meet = [key], np.full(len(pairs), np.inf), np.full(len(pairs), -1)
+        if hub:
+            in_hub, free = base + hub.root, node != hub.root
+            slot, key, label = slot[free], key[free], label[free]
+        while len(key):
+            nearest = np.full(slots, np.inf)
+            np.minimum.at(nearest, slot, label)
+            hubs = costs[in_hub] if hub else np.inf
+            goes = nearest < hubs
+            low = np.minimum(nearest, hubs)
+            # A way over a place must cost less than this up to it; none is left once the other side has no open place.
+            across = np.subtract(best.repeat(2), low[twin], out=np.full(slots, -np.inf), where=np.isfinite(low[twin]))
+            goes &= low < across
+            count = np.bincount(slot, minlength=slots)
+            goes &= ~goes[twin] | (count <= 4 * count[twin])
+            kept = label < across[slot]
+            if not kept.all():
+                slot, key, label = slot[kept], key[kept], label[kept]
+            now = label <= np.where(goes, low + stride, -1.0)[slot]
+            at, by, cost = key[now], slot[now], label[now]
+            slot, key, label = slot[~now], key[~now], label[~now]
+            current = costs[at] == cost
+            at, by, cost = at[current], by[current], cost[current]
+            first = ends[at - base[by]]
+            arcs = ends[at - base[by] + 1] - first
+            total = np.cumsum(arcs)
+            if len(total) and total[-1] > ROUND_ARCS:
+                cut = max(1, int(np.searchsorted(total, ROUND_ARCS)))
+                slot, key, label = (np.concatenate([x, y[cut:]]) for x, y in ((slot, by), (key, at), (label, cost)))
+                by, cost, first, arcs, total = by[:cut], cost[:cut], first[:cut], arcs[:cut], total[:cut]
+            if not len(total):
+                if not goes.any():
+                    break
+                continue
+            arc = np.arange(total[-1]) + np.repeat(first - total + arcs, arcs)
+            by, step = np.repeat(by, arcs), np.repeat(cost, arcs) + weights[edges[arc]]
+            short = step < across[by]
+            arc, by, step = arc[short], by[short], step[short]
+            node = others[arc]
+            if hub:
+                node = hub.place[node]
+            at = base[by] + node
+            less = step < costs[at]
+            arc, by, step, node, at = arc[less], by[less], step[less], node[less], at[less]
+            np.minimum.at(costs, at, step)
+            least = np.flatnonzero(costs[at] == step)
+            arc, by, step, node, at = arc[least], by[least], step[least], node[least], at[least]
+            came[at] = arc
+            single = came[at] == arc
+            by, step, node, at = by[single], step[single], node[single], at[single]
+            touched.append(at)
+            whole, pair = step + costs[base[twin[by]] + node], by >> 1
+            better = whole < best[pair]
+            if better.any():
+                whole, pair, node_met = whole[better], pair[better], node[better]
+                np.minimum.at(best, pair, whole)
+                hit = whole == best[pair]
+                meet[pair[hit]] = node_met[hit]
+            if hub:
+                out = node != hub.root
+                by, step, at = by[out], step[out], at[out]
+            slot, key, label = np.concatenate([slot, by]), np.concatenate([key, at]), np.concatenate([label, step])
+        found = []
+        for i, pair in enumerate(pairs):
+            if meet[i] < 0:
+                found.append(None)
+                continue
+            halves = []
+            for side, end in enumerate(pair):
+                at, start, nodes, path = int(meet[i]), int(base[2 * i + side]), [], []
+                while (arc := int(came[start + at])) >= 0:
+                    nodes.append(int(others[arc]))
+                    path.append(int(edges[arc]))
+                    at = bisect_right(self.ends, arc) - 1
+                halves.append(([*nodes, end], path))
+            found.append(self._joined(*halves, hub))
+        for x in touched:
+            costs[x] = np.inf
+        return found
+
     def _near(self, source: int, target: int, alpha: float, beta: float, slack: float):
         """(limit, arcs by node, costs to the target) of all that lies on paths within ``slack`` above the cheapest; None without a path.
 
@@ -432,12 +581,16 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
     def run(frames):
         graph = _graph(name)
         for frame in frames:
-            for start in range(0, len(frame), 500):
-                out = []
-                for row in frame.iloc[start : start + 500].to_dict("records"):
-                    for rank, (cost, fids, nodes) in enumerate(graph.shortest(row["source"], row["target"], row["alpha"], row["beta"], k), 1):
-                        out.append([*(row[c] for c in columns), rank, cost, fids, nodes])
-                yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
+            for (alpha, beta), asked in frame.groupby(["alpha", "beta"], dropna=False):
+                for start in range(0, len(asked), 500):
+                    rows = asked.iloc[start : start + 500].to_dict("records")
+                    pairs = [(x["source"], x["target"]) for x in rows]
+                    if k == 1:
+                        answers = [[x] if x else [] for x in graph.cheapest(pairs, alpha, beta)]
+                    else:
+                        answers = [graph.shortest(*x, alpha, beta, k) for x in pairs]
+                    out = [[*(row[c] for c in columns), rank, *path] for row, paths in zip(rows, answers) for rank, path in enumerate(paths, 1)]
+                    yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
 
     spread = requests.repartition(4 * spark.sparkContext.defaultParallelism, "source", "target", "alpha", "beta")
     return stored(spread.mapInPandas(run, _schema(requests)), "routes")

@@ -120,3 +120,47 @@ def test_a_batch_is_searched_once_for_each_network(spark):
     ends = spark.createDataFrame([("R1", 0, 9)], "route_id string, source long, target long")
     made = routing.batch({"ml": edges, "rule-based": edges}, ends)
     assert "MapInPandas" not in made._jdf.queryExecution().toString() and made.count() == 8
+
+
+CASES = ((1.0, 0.0), (1.0, 3.0), (0.0, 1.0))
+
+
+def _odd_graph():
+    """With a hub of free edges, a long road, a piece apart and a loop."""
+    edges = _random(3000, 9000, free=0.5)
+    return edges + [(10**6, 50, 5000, 10_000.0, 50.0), (10**6 + 1, 6000, 6001, 3.0, 20.0), (10**6 + 2, 8, 8, 3.0, 20.0)]
+
+
+@pytest.mark.parametrize(("places", "arcs"), [(10**6, 10**6), (10**5, 40), (1, 10**6)])
+def test_searches_made_at_once_find_the_cheapest(pops, monkeypatch, places, arcs):
+    monkeypatch.setattr(routing, "PLACES", places)
+    monkeypatch.setattr(routing, "ROUND_ARCS", arcs)
+    edges = _odd_graph()
+    graph, by_fid = _graph(edges), {e[0]: e for e in edges}
+    targets = [*range(100, 160), 7, 5000, 6001, 123456]
+    for alpha, beta in CASES:
+        costs = _costs(edges, 7, alpha, beta)
+        found = graph.cheapest([(7, t) for t in targets] + [(t, 7) for t in targets], alpha, beta)
+        for target, path in zip(targets * 2, found):
+            assert (path is None) == (target not in costs)
+            if path:
+                cost, fids, nodes = path
+                assert cost == pytest.approx(costs[target], abs=1e-6) and len(set(nodes)) == len(nodes) and {nodes[0], nodes[-1]} == {7, target}
+                assert [{a, b} for a, b in zip(nodes, nodes[1:])] == [set(by_fid[f][1:3]) for f in fids]
+    assert pops[0] == 0  # one by one, each would fill a heap of its own
+
+
+def test_a_path_does_not_depend_on_those_searched_with_it():
+    graph = _graph(_odd_graph())
+    pairs = [(s, s + 900) for s in range(50)]
+    for case in CASES:
+        assert graph.cheapest(pairs, *case) == [graph.cheapest([p], *case)[0] for p in pairs]
+
+
+def test_an_end_at_a_long_road_does_not_open_the_graph():
+    """The other side waits for it: few of the places are ever reached."""
+    graph = _graph([*_random(3000, 9000), (10**6, 50, 5000, 10_000.0, 50.0)])
+    graph.cheapest([(7, 8)], 1.0, 0.0)
+    graph.room[1][:] = -7
+    assert graph.cheapest([(7, 5000)], 1.0, 0.0)[0][1][-1] == 10**6
+    assert (graph.room[1] != -7).sum() < 2000
