@@ -19,14 +19,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footgrid import params
 from footgrid.operators.network import clamped_safety, edge_cost
-from footgrid.shipping import map_arrow, ship
+from footgrid.shipping import ship
 from footgrid.storage import stored
 
 
@@ -56,6 +55,8 @@ def _adjacency(u: np.ndarray, v: np.ndarray):
 
 #: Nodes joined by edges that cost nothing, from which on they are passed as one node.
 HUB_NODES = 64
+#: Edges that the driver takes in at once, of 40 bytes each.
+PART_EDGES = 3_000_000
 #: (end, node) places of the searches that are made at once: 12 bytes each.
 PLACES = 16_000_000
 #: How far one round of such searches goes, in mean costs of an edge, and arcs it follows at most at once.
@@ -494,31 +495,28 @@ def graph_of(edges: pd.DataFrame) -> Graph:
     return Graph(ids, ends, arcs, others, fids, *_usable(edges["length_m"], edges["safety"]))
 
 
-def _pack(batches):
-    """Edges as (u, v, fid, length, risk), one row of bytes a batch."""
-    for batch in batches:
-        length, risk = _usable(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("length_m", "safety")))
-        columns = [*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("u", "v", "fid")), length, risk]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["u", "v", "fid", "length", "risk"])
-
-
-def graph_file(edges: DataFrame) -> str:
+def graph_file(edges: DataFrame, n_edges: int | None = None) -> str:
     """Write the graph into one file that every executor gets; its name.
 
     The driver holds the two ends of the edges and their order, all else goes
-    through it in batches.
+    through it in parts, for each of which the edges are read.
     """
     context, name = edges.sparkSession.sparkContext, f"graph-{uuid.uuid4().hex}"
+    n_edges = edges.count() if n_edges is None else n_edges
     target = Path(SparkFiles.getRootDirectory()) / name  # where Spark would put the driver's copy
-    packed = map_arrow(edges.select("u", "v", "fid", F.col("length_m").cast("double"), F.col("safety").cast("double")), _pack, "u binary, v binary, fid binary, length binary, risk binary")
+    columns, parts = edges.select("u", "v", "fid", F.col("length_m").cast("double"), F.col("safety").cast("double")), -(-n_edges // PART_EDGES)
     u, v, sides = [], [], {n: target.with_name(f"{name}-{n}") for n in ("fid", "length", "risk")}
     with contextlib.ExitStack() as stack:
         files = {n: stack.enter_context(p.open("wb")) for n, p in sides.items()}
-        for row in packed.toLocalIterator():
-            u.append(np.frombuffer(row["u"], np.int64))
-            v.append(np.frombuffer(row["v"], np.int64))
-            for n, file in files.items():
-                file.write(row[n])
+        for i in range(parts):
+            part = columns.where(F.pmod(F.xxhash64("fid"), F.lit(parts)) == i) if parts > 1 else columns
+            table = part.toArrow()
+            length, risk = _usable(table["length_m"].to_numpy(), table["safety"].to_numpy())
+            u.append(table["u"].to_numpy().astype(np.int64))
+            v.append(table["v"].to_numpy().astype(np.int64))
+            for n, x in (("fid", table["fid"].to_numpy().astype(np.int64)), ("length", length), ("risk", risk)):
+                files[n].write(x.data)
+            del table
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
     n_edges = len(u)
     ids, ends, arcs, others = _adjacency(u, v)
@@ -569,14 +567,16 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
 
     requests: source, target (node ids), alpha, beta and any others. edges: one a
     node pair (fid, u, v, length_m, safety). A request without a path has no row.
-    Edges are read twice; what is found is stored, so that no use of it searches again.
+    Edges are read once to be counted, and once for every ``PART_EDGES``; what is
+    found is stored, so that no use of it searches again.
     """
     spark = requests.sparkSession
     ship(spark)
     picked = edges.select("fid", "u", "v", "length_m", "safety")
-    if picked.limit(broadcast_edges + 1).count() > broadcast_edges:
+    n_edges = picked.count()
+    if n_edges > broadcast_edges:
         return large_routes(requests, picked, k)
-    name, columns = graph_file(picked), requests.columns  # 46 bytes an edge, bounded by the count above
+    name, columns = graph_file(picked, n_edges), requests.columns  # 46 bytes an edge, bounded by the count above
 
     def run(frames):
         graph = _graph(name)

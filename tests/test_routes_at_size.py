@@ -164,3 +164,15 @@ def test_an_end_at_a_long_road_does_not_open_the_graph():
     graph.room[1][:] = -7
     assert graph.cheapest([(7, 5000)], 1.0, 0.0)[0][1][-1] == 10**6
     assert (graph.room[1] != -7).sum() < 2000
+
+
+def test_a_graph_is_the_same_in_parts(spark, monkeypatch):
+    edges = spark.createDataFrame(_random(60, 150), EDGES)
+    files = []
+    for part in (1000, 7):
+        monkeypatch.setattr(routing, "PART_EDGES", part)
+        files.append(routing._mapped(SparkFiles.get(routing.graph_file(edges))))
+    whole, parts = files
+    pairs = [(0, t) for t in range(1, 60)]
+    assert len(whole.fids) == len(parts.fids) == edges.count() and sorted(whole.fids) == sorted(parts.fids)
+    assert [x and x[1] for x in whole.cheapest(pairs, 1.0, 2.0)] == [x and x[1] for x in parts.cheapest(pairs, 1.0, 2.0)]
