@@ -96,10 +96,11 @@ SQL["network_table"] = f"{ctes('fx_edge')}, {_degree_cte('1', 'fx_edge')}, k1 AS
 
 
 def _ends(spark, d):
+    """Both ends of all requests are looked up in one pass."""
     nodes, od = fixture(spark, d, "fx_node"), fixture(spark, d, "fx_od")
-    source = network.nearest_nodes(od, nodes, "od_id", "sx", "sy").withColumnRenamed("node_id", "source")
-    target = network.nearest_nodes(od, nodes, "od_id", "tx", "ty").withColumnRenamed("node_id", "target")
-    return source.join(target, "od_id")
+    ends = od.selectExpr("od_id * 2 AS end_id", "sx AS px", "sy AS py").unionByName(od.selectExpr("od_id * 2 + 1 AS end_id", "tx AS px", "ty AS py"))
+    at = lambda end: F.max(F.expr(f"CASE WHEN pmod(end_id, 2) = {end} THEN node_id END"))
+    return network.nearest_nodes(ends, nodes, "end_id", "px", "py").groupBy(F.expr("(end_id - pmod(end_id, 2)) div 2").alias("od_id")).agg(at(0).alias("source"), at(1).alias("target"))
 
 
 def nearest_node(spark, d):

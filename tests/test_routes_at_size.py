@@ -9,6 +9,7 @@ from pyspark import SparkFiles
 
 from footgrid.fixtures import fixture
 from footgrid.operators import routing
+from footgrid.plans import graphs
 
 EDGES = "fid long, u long, v long, length_m double, safety double"
 
@@ -176,3 +177,10 @@ def test_a_graph_is_the_same_in_parts(spark, monkeypatch):
     pairs = [(0, t) for t in range(1, 60)]
     assert len(whole.fids) == len(parts.fids) == edges.count() and sorted(whole.fids) == sorted(parts.fids)
     assert [x and x[1] for x in whole.cheapest(pairs, 1.0, 2.0)] == [x and x[1] for x in parts.cheapest(pairs, 1.0, 2.0)]
+
+
+def test_both_ends_are_looked_up_at_once(spark, tiny, monkeypatch):
+    calls, looked_up = [], graphs.network.nearest_nodes
+    monkeypatch.setattr(graphs.network, "nearest_nodes", lambda *a: calls.append(a) or looked_up(*a))
+    assert graphs.nearest_node(spark, tiny).columns == ["od_id", "source", "target"]
+    assert len(calls) == 1
