@@ -42,12 +42,15 @@ def containing(points: DataFrame, x: str, y: str, edges: DataFrame, key: str) ->
     bands = banded.groupBy("_band", key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"), F.min(F.least("x1", "x2")).alias("_low"), F.max(F.greatest("x1", "x2")).alias("_high"))
     px, py = F.col(x), F.col(y)
 
-    def crossed(n: Column, e: Column) -> Column:
-        at = e["x1"] + (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) * (e["x2"] - e["x1"])
-        return n + F.when(((e["y1"] > py) != (e["y2"] > py)) & (px < at), 1).otherwise(0)
+    # The point goes with the count: Spark can push a filter to the side of the bands by mistake when a lambda function reads other columns.
+    def crossed(s: Column, e: Column) -> Column:
+        at = e["x1"] + (s["y"] - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) * (e["x2"] - e["x1"])
+        n = s["n"] + F.when(((e["y1"] > s["y"]) != (e["y2"] > s["y"])) & (s["x"] < at), 1).otherwise(0)
+        return F.struct(n.alias("n"), s["x"].alias("x"), s["y"].alias("y"))
 
     near = points.withColumn("_band", _band(py)).join(bands, "_band").where((px >= F.col("_low")) & (px <= F.col("_high")))
-    return near.where(F.aggregate("_edges", F.lit(0), crossed) % 2 == 1).drop("_band", "_edges", "_low", "_high")
+    point = F.struct(F.lit(0).alias("n"), px.alias("x"), py.alias("y"))
+    return near.where(F.aggregate("_edges", point, crossed)["n"] % 2 == 1).drop("_band", "_edges", "_low", "_high")
 
 
 def touching(segments: DataFrame, areas: DataFrame, key: str, rings: str = "rings") -> DataFrame:
