@@ -14,7 +14,7 @@ import shutil
 import uuid
 from bisect import bisect_right
 from dataclasses import dataclass
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -59,10 +59,14 @@ HUB_NODES = 64
 PART_EDGES = 3_000_000
 #: (end, node) places of the searches that are made at once: 12 bytes each.
 PLACES = 16_000_000
+#: The same for searches that keep no ways: 8 bytes each.
+NEAR_PLACES = 28_000_000
 #: How far one round of such searches goes, in mean costs of an edge, and arcs it follows at most at once.
 STRIDE, ROUND_ARCS = 0.1, 2_000_000
 #: What paths may cost beyond the cheapest in the searches for the k cheapest, before the search is unbounded.
 SLACKS = (0.05, 0.15, 0.5)
+#: The same for searches made at once, in which another search costs more than a wider one.
+NEAR_SLACKS = (0.08, 0.2, 0.5)
 
 
 @dataclass
@@ -103,6 +107,7 @@ class Graph:
         self.hubs: dict[tuple[float, float], Hub | None] = {}
         self.weighed: tuple[tuple[float, float], np.ndarray, float] | None = None
         self.room: tuple[np.ndarray, np.ndarray] | None = None
+        self.near_room: np.ndarray | None = None
 
     def at(self, node: int) -> int | None:
         i = int(np.searchsorted(self.ids, node))
@@ -407,6 +412,117 @@ class Graph:
                 arcs[node] = near
         return limit, arcs, back
 
+    def _near_together(self, pairs: list[tuple[int, int]], alpha: float, beta: float, slack: float, cap: np.ndarray):
+        """``_near`` of many pairs of places, by searches made at once in arrays; a finite ``cap`` is the limit.
+
+        Both sides go on, as in ``_together``, until their nearest open places
+        together are beyond the limit. A path within it goes over places that the
+        first side has settled, then one arc, then over places that the other has.
+        """
+        n, (weights, mean) = len(self.ids), self._weights(alpha, beta)
+        ends, edges, others, _, _ = self.arrays
+        if self.near_room is None:
+            self.near_room = np.full(2 * n * max(1, NEAR_PLACES // (2 * n)), np.inf)
+        costs, slots, stride = self.near_room, 2 * len(pairs), STRIDE * mean
+        slot, node = np.arange(slots), np.array(pairs, np.int64).ravel()
+        base, twin = slot * n, slot ^ 1
+        key, label = base + node, np.zeros(slots)
+        costs[key] = 0.0
+        touched, settled, best, limit = [key], [key[:0]], np.full(len(pairs), np.inf), cap.copy()
+        while len(key):
+            nearest = np.full(slots, np.inf)
+            np.minimum.at(nearest, slot, label)
+            across = np.subtract(limit.repeat(2), nearest[twin], out=np.full(slots, -np.inf), where=np.isfinite(nearest[twin]))
+            goes = nearest <= across
+            count = np.bincount(slot, minlength=slots)
+            goes &= ~goes[twin] | (count <= 4 * count[twin])
+            now = label <= np.where(goes, nearest + stride, -1.0)[slot]
+            at, by, cost = key[now], slot[now], label[now]
+            kept = ~now & (label <= across[slot])
+            slot, key, label = slot[kept], key[kept], label[kept]
+            current = costs[at] == cost
+            at, by, cost = at[current], by[current], cost[current]
+            node = at - base[by]
+            first = ends[node]
+            arcs = ends[node + 1] - first
+            total = np.cumsum(arcs)
+            if len(total) and total[-1] > ROUND_ARCS:
+                cut = max(1, int(np.searchsorted(total, ROUND_ARCS)))
+                slot, key, label = (np.concatenate([x, y[cut:]]) for x, y in ((slot, by), (key, at), (label, cost)))
+                at, by, cost, first, arcs, total = at[:cut], by[:cut], cost[:cut], first[:cut], arcs[:cut], total[:cut]
+            if not len(total):
+                if not goes.any():
+                    break
+                continue
+            settled.append(at[by & 1 == 0])
+            arc = np.arange(total[-1]) + np.repeat(first - total + arcs, arcs)
+            by, step = np.repeat(by, arcs), np.repeat(cost, arcs) + weights[edges[arc]]
+            short = step <= across[by]
+            arc, by, step = arc[short], by[short], step[short]
+            at = base[by] + others[arc]
+            less = step < costs[at]
+            by, step, at = by[less], step[less], at[less]
+            np.minimum.at(costs, at, step)
+            least = costs[at] == step
+            by, step, at = by[least], step[least], at[least]
+            touched.append(at)
+            np.minimum.at(best, by >> 1, step + costs[at - base[by] + base[twin[by]]])
+            limit = np.where(np.isfinite(cap), cap, best * (1 + slack) + 1e-9)
+            slot, key, label = np.concatenate([slot, by]), np.concatenate([key, at]), np.concatenate([label, step])
+        by, node = np.divmod(np.unique(np.concatenate(settled)), n)
+        arcs = ends[node + 1] - ends[node]
+        arc = np.arange(arcs.sum()) + np.repeat(ends[node] - np.cumsum(arcs) + arcs, arcs)
+        by, node, other = np.repeat(by, arcs), np.repeat(node, arcs), others[arc]
+        there, step, back = costs[base[by] + node], weights[edges[arc]], costs[base[by + 1] + other]
+        met = np.flatnonzero(there + step + back <= limit[by >> 1])
+        by, met = by[met] >> 1, [x[met].tolist() for x in (node, other, there + step, step + back)]
+        starts = np.searchsorted(by, np.arange(len(pairs) + 1)).tolist()
+        found = []
+        for i in range(len(pairs)):
+            crossings = list(zip(*(x[starts[i] : starts[i + 1]] for x in met)))
+            found.append(self._around(crossings, float(limit[i]), costs[base[2 * i] :][:n], costs[base[2 * i + 1] :][:n], weights) if np.isfinite(best[i]) else None)
+        costs[np.concatenate(touched)] = np.inf
+        return found
+
+    def _around(self, crossings, limit: float, there: np.ndarray, back: np.ndarray, weights: np.ndarray):
+        """What ``_near`` returns, from the arcs (node, other, cost from the source to other, cost from node to the target) on which the two sides meet."""
+        far, arcs_of = float("inf"), {}
+
+        def around(node):
+            if node not in arcs_of:
+                a, b = self.ends[node], self.ends[node + 1]
+                edge, other = self.arrays[1][a:b], self.arrays[2][a:b]
+                arcs_of[node] = list(zip(other.tolist(), edge.tolist(), weights[edge].tolist(), there[other].tolist(), back[other].tolist()))
+            return arcs_of[node]
+
+        sides = ({}, {})  # costs from the source to places beyond the meeting, and to the target from those before it
+        for side in (0, 1):
+            own, done, heap = sides[side], set(), []
+            for node, other, to_other, from_node in crossings:
+                at, cost = (other, to_other) if side == 0 else (node, from_node)
+                if cost < own.get(at, far):
+                    own[at] = cost
+                    heap.append((cost, at))
+            heapify(heap)
+            while heap:
+                cost, node = heappop(heap)
+                if node in done:
+                    continue
+                done.add(node)
+                for other, _, step, *known in around(node):
+                    if cost + step + known[1 - side] <= limit and cost + step < own.get(other, far):
+                        own[other] = cost + step
+                        heappush(heap, (cost + step, other))
+        from_source, to_target = sides
+        near = from_source.keys() | to_target.keys()
+        home = {x: min(to_target.get(x, far), float(back[x])) for x in near}
+        arcs = {}
+        for node in near:
+            cost = min(from_source.get(node, far), float(there[node]))
+            if cost + home[node] <= limit:
+                arcs[node] = [(other, edge, step) for other, edge, step, _, _ in around(node) if cost + step + home.get(other, far) <= limit]
+        return limit, arcs, home
+
     @staticmethod
     def _spur(arcs, back, source: int, target: int, banned, closed):
         """``_between`` within what ``_near`` found, led by the costs to the target."""
@@ -476,17 +592,58 @@ class Graph:
             near = self._near(source, target, alpha, beta, slack)
             if near is None:
                 return []
-            limit, arcs, back = near
-            spur_of = lambda node, banned, closed: self._spur(arcs, back, node, target, banned, closed)  # noqa: B023, E731
-            nodes, path = spur_of(source, frozenset(), frozenset())
-            found = self._yen((self._cost(path, alpha, beta), path, nodes), target, alpha, beta, k, spur_of)
-            if len(found) == k and found[-1][0] <= limit:
+            found = self._within(near, source, target, alpha, beta, k)
+            if len(found) == k and found[-1][0] <= near[0]:
                 return found
+        return self._unbounded(source, target, alpha, beta, k)
+
+    def _within(self, near, source: int, target: int, alpha: float, beta: float, k: int):
+        """The k cheapest paths in what ``_near`` found."""
+        _, arcs, back = near
+        spur_of = lambda node, banned, closed: self._spur(arcs, back, node, target, banned, closed)
+        nodes, path = spur_of(source, frozenset(), frozenset())
+        return self._yen((self._cost(path, alpha, beta), path, nodes), target, alpha, beta, k, spur_of)
+
+    def _unbounded(self, source: int, target: int, alpha: float, beta: float, k: int):
         one = self._between(source, target, alpha, beta, hub=self.hub(alpha, beta))
         if one is None:
             return []
         return self._yen((self._cost(one[1], alpha, beta), one[1], one[0]), target, alpha, beta, k, lambda node, banned, closed: self._between(node, target, alpha, beta, banned, closed))
 
+    def several(self, pairs: list[tuple[int, int]], alpha: float, beta: float, k: int):
+        """``shortest`` of each (source, target), by searches made at once in arrays.
+
+        Where k paths were found, of which some may not be the cheapest, the next
+        search goes as far as the k-th of them and settles it.
+        """
+        out, asked = [[] for _ in pairs], []
+        for i, (source, target) in enumerate(pairs):
+            a, b = self.at(source), self.at(target)
+            if source == target:
+                out[i] = [(0.0, [], [source])]
+            elif a is not None and b is not None:
+                asked.append((i, a, b, float("inf")))
+        most, answers = max(1, NEAR_PLACES // (2 * max(1, len(self.ids)))), {}
+        for slack in (*NEAR_SLACKS, None):  # at last only what has k paths
+            waiting = []
+            for start in range(0, len(asked), most):
+                part = asked[start : start + most]
+                for (i, a, b, _), near in zip(part, self._near_together([x[1:3] for x in part], alpha, beta, slack or 0.0, np.array([x[3] for x in part]))):
+                    found = [] if near is None else self._within(near, a, b, alpha, beta, k)
+                    if near is None or (len(found) == k and found[-1][0] <= near[0]):
+                        answers[i] = found
+                    elif len(found) == k:
+                        waiting.append((i, a, b, found[-1][0] * (1 + 1e-12) + 1e-9))
+                    elif slack == NEAR_SLACKS[-1]:
+                        answers[i] = self._unbounded(a, b, alpha, beta, k)
+                    else:
+                        waiting.append((i, a, b, float("inf")))
+            asked = waiting
+        answers |= {i: self._unbounded(a, b, alpha, beta, k) for i, a, b, _ in asked}
+        for i, found in answers.items():
+            out[i] = [(cost, [self.fids[e] for e in path], [int(self.ids[n]) for n in nodes]) for cost, path, nodes in found]
+        return out
+
 
 def graph_of(edges: pd.DataFrame) -> Graph:
     """A graph of edges (fid, u, v, length_m, safety) in memory."""
@@ -588,7 +745,7 @@ def routes(requests: DataFrame, edges: DataFrame, k: int = 1, broadcast_edges: i
                     if k == 1:
                         answers = [[x] if x else [] for x in graph.cheapest(pairs, alpha, beta)]
                     else:
-                        answers = [graph.shortest(*x, alpha, beta, k) for x in pairs]
+                        answers = graph.several(pairs, alpha, beta, k)
                     out = [[*(row[c] for c in columns), rank, *path] for row, paths in zip(rows, answers) for rank, path in enumerate(paths, 1)]
                     yield pd.DataFrame(out, columns=[*columns, "rank", "total_cost", "fids", "nodes"])
 
