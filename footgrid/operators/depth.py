@@ -143,7 +143,8 @@ def combine_maps(images: DataFrame, detections: DataFrame, maps: DataFrame, min_
     those without a valid depth go. misses: one row of counts.
     """
     depths = maps.select("image_id", F.col("values").alias("_values"), F.col("width").alias("_w"), F.col("height").alias("_h"))
-    joined = images.join(detections.select("image_id", "objects"), "image_id", "left").join(depths, "image_id", "left")
+    # Spark takes an array for one value when it estimates sizes, and would broadcast maps that fill the driver.
+    joined = images.join(detections.select("image_id", "objects").hint("merge"), "image_id", "left").join(depths.hint("merge"), "image_id", "left")
     misses = joined.agg(
         F.count("*").alias("images"), F.count_if(F.col("objects").isNull()).alias("missing_detections"),
         F.count_if(F.col("objects").isNotNull() & F.col("_values").isNull()).alias("missing_depth"),
