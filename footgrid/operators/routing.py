@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from footgrid import params
 from footgrid.operators.network import clamped_safety, edge_cost
-from footgrid.shipping import ship
+from footgrid.shipping import release, ship
 from footgrid.storage import stored
 
 
@@ -40,23 +40,29 @@ def _usable(length, safety) -> tuple[np.ndarray, np.ndarray]:
     return length, (100.0 - np.clip(np.where(np.isnan(safety), 50.0, safety), 0.0, 100.0)) * length / 100.0
 
 
+def _arcs(u: np.ndarray, v: np.ndarray, n: int, parts: int = 1):
+    """(degrees, edges, neighbours) of each part of the ``n`` nodes, by node: each arc's edge and other node; both directions of every edge, no loops."""
+    for i in range(parts):
+        a, b = n * i // parts, n * (i + 1) // parts
+        at, back = (np.flatnonzero((x >= a) & (x < b) & (u != v)).astype(np.int32) for x in (u, v))
+        own, other, edges = np.concatenate([u[at], v[back]]), np.concatenate([v[at], u[back]]), np.concatenate([at, back])
+        order = np.lexsort((other, own))
+        yield np.bincount(own - a, minlength=b - a), edges[order], other[order]
+
+
 def _adjacency(u: np.ndarray, v: np.ndarray):
-    """(ids, ends, edges, neighbours): the nodes in order, where each one's arcs end, and each arc's edge and other node; both directions of every edge, no loops."""
+    """(ids, ends, edges, neighbours): the nodes in order, where each one's arcs end, and what ``_arcs`` gives."""
     ids = np.unique(np.concatenate([np.unique(u), np.unique(v)]))
-    u, v = _index(ids, u), _index(ids, v)
-    edges = np.flatnonzero(u != v).astype(np.int32)
-    u, v = u[edges], v[edges]
-    own, other, edges = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([edges, edges])
-    order = np.lexsort((other, own))
+    [(degrees, edges, others)] = _arcs(_index(ids, u), _index(ids, v), len(ids))
     ends = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum(np.bincount(own, minlength=len(ids)), out=ends[1:])
-    return ids, ends, edges[order], other[order]
+    np.cumsum(degrees, out=ends[1:])
+    return ids, ends, edges, others
 
 
 #: Nodes joined by edges that cost nothing, from which on they are passed as one node.
 HUB_NODES = 64
 #: Edges that the driver takes in at once, of 40 bytes each.
-PART_EDGES = 3_000_000
+PART_EDGES = 2_000_000
 #: (end, node) places of the searches that are made at once: 12 bytes each.
 PLACES = 16_000_000
 #: The same for searches that keep no ways: 8 bytes each.
@@ -652,42 +658,59 @@ def graph_of(edges: pd.DataFrame) -> Graph:
     return Graph(ids, ends, arcs, others, fids, *_usable(edges["length_m"], edges["safety"]))
 
 
+def _pieces(path: Path):
+    """A file of node ids, in arrays of bounded size."""
+    with path.open("rb") as file:
+        while len(x := np.fromfile(file, np.int64, PART_EDGES)):
+            yield x
+
+
 def graph_file(edges: DataFrame, n_edges: int | None = None) -> str:
     """Write the graph into one file that every executor gets; its name.
 
-    The driver holds the two ends of the edges and their order, all else goes
-    through it in parts, for each of which the edges are read.
+    All of it goes through the driver in parts, for each of which the edges are
+    read; it holds the places of the edges' ends, 8 bytes an edge, and the nodes.
     """
     context, name = edges.sparkSession.sparkContext, f"graph-{uuid.uuid4().hex}"
     n_edges = edges.count() if n_edges is None else n_edges
     target = Path(SparkFiles.getRootDirectory()) / name  # where Spark would put the driver's copy
     columns, parts = edges.select("u", "v", "fid", F.col("length_m").cast("double"), F.col("safety").cast("double")), -(-n_edges // PART_EDGES)
-    u, v, sides = [], [], {n: target.with_name(f"{name}-{n}") for n in ("fid", "length", "risk")}
+    ids, sides = np.zeros(0, np.int64), {n: target.with_name(f"{name}-{n}") for n in ("u", "v", "fid", "length", "risk", "arcs", "others")}
     with contextlib.ExitStack() as stack:
         files = {n: stack.enter_context(p.open("wb")) for n, p in sides.items()}
         for i in range(parts):
             part = columns.where(F.pmod(F.xxhash64("fid"), F.lit(parts)) == i) if parts > 1 else columns
             table = part.toArrow()
             length, risk = _usable(table["length_m"].to_numpy(), table["safety"].to_numpy())
-            u.append(table["u"].to_numpy().astype(np.int64))
-            v.append(table["v"].to_numpy().astype(np.int64))
-            for n, x in (("fid", table["fid"].to_numpy().astype(np.int64)), ("length", length), ("risk", risk)):
+            for n, x in (("length", length), ("risk", risk)):
                 files[n].write(x.data)
-            del table
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-    n_edges = len(u)
-    ids, ends, arcs, others = _adjacency(u, v)
+            for n in ("u", "v", "fid"):
+                files[n].write((x := table[n].to_numpy().astype(np.int64)).data)
+                if n != "fid":
+                    ids = np.union1d(ids, x)
+            del table, part, length, risk, x
+            release()
+    u, v = (np.concatenate([_index(ids, x) for x in _pieces(sides[n])] or [np.zeros(0, np.int32)]) for n in ("u", "v"))
+    n_edges, ends = len(u), np.zeros(len(ids) + 1, np.int64)
+    at = 1
+    with sides["arcs"].open("wb") as arcs, sides["others"].open("wb") as others:
+        for degrees, edge, other in _arcs(u, v, len(ids), max(1, -(-n_edges // (PART_EDGES // 2)))):
+            ends[at : at + len(degrees)] = degrees
+            at += len(degrees)
+            arcs.write(edge.data)
+            others.write(other.data)
     del u, v
+    np.cumsum(ends, out=ends)
     with target.open("wb") as out:
-        out.write(np.array([len(ids), len(arcs), n_edges], np.int64).tobytes())
+        out.write(np.array([len(ids), ends[-1], n_edges], np.int64).tobytes())
         for x in (ids, ends):
             out.write(x.data)
-        for path in sides.values():
-            with path.open("rb") as part:
-                shutil.copyfileobj(part, out, 1 << 20)
+        for n, path in sides.items():
+            if n not in ("u", "v"):
+                with path.open("rb") as part:
+                    shutil.copyfileobj(part, out, 1 << 20)
             path.unlink()
-        for x in (arcs, others):
-            out.write(x.data)
+    release()
     context.addFile(str(target))
     return name
 
